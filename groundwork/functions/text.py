@@ -62,13 +62,16 @@ def is_stop_word(word: Column) -> Column:
     return word.isin(STOP_WORDS)
 
 
+def normal_words(words: Column | str) -> Column:
+    """Stems at the place of their tokens; a stop word leaves an empty place."""
+    return F.transform(words, lambda w: F.when(is_stop_word(w), F.lit("")).otherwise(stem(w)))
+
+
 def normal_terms(words: Column | str) -> Column:
     """Stems of the tokens that are not stop words, in order."""
-    return F.transform(F.filter(words, lambda w: ~is_stop_word(w)), stem)
+    return F.filter(normal_words(words), lambda w: w != "")
 
 
-def placed_terms(words: Column | str) -> Column:
-    """(term, pos) of every stemmed token, counted before stop words are left out."""
-    pairs = F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("pos")))
-    kept = F.filter(pairs, lambda p: ~is_stop_word(p["word"]))
-    return F.transform(kept, lambda p: F.struct(stem(p["word"]).alias("term"), p["pos"].alias("pos")))
+def phrase_text(words: Column | str) -> Column:
+    """A phrase of normal words for containment in `padded`; stop words at its ends are dropped."""
+    return F.concat(F.lit(" "), F.trim(F.array_join(words, " ")), F.lit(" "))
