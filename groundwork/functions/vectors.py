@@ -34,8 +34,8 @@ def preview(vector: Column | str, values: int = 12) -> Column:
 
 
 def to_text(vector: Column | str) -> Column:
-    """`[v1,v2,...]` with seven decimals, the exchange form of a vector."""
-    parts = F.transform(vector, lambda x: F.format_string("%.7f", x.cast("double")))
+    """`[v1,v2,...]` with seven decimals (half to even), the exchange form of a vector."""
+    parts = F.transform(vector, lambda x: F.format_string("%.7f", F.bround(x.cast("double"), 7)))
     return F.concat(F.lit("["), F.array_join(parts, ","), F.lit("]"))
 
 

@@ -12,7 +12,7 @@ from groundwork.functions import numbers, text, vectors
 from groundwork.functions.embedding import embed, hashed_terms
 from groundwork.operators import analytics, cells, expectations, fusion, graph, grounding, keyword, nearest, similarity
 from groundwork.schema import ANSWER_POOL, FUSION_DEPTH, TICKET_COLUMNS
-from groundwork.session import ship
+from groundwork.session import materialise, ship
 from groundwork.sources import given, merge
 from groundwork.sources.tickets import clean_values, to_ticket
 
@@ -249,7 +249,7 @@ def v5_batch_topk(g: Setting) -> DataFrame:
 
 
 def _celled(g: Setting) -> tuple[DataFrame, DataFrame]:
-    corpus = g.corpus.select("ticket_id", "embedding")
+    corpus = materialise(g.corpus.select("ticket_id", "embedding"))
     centres = cells.fit_cells(corpus, N_CELLS)
     return cells.in_cells(corpus, centres), cells.with_probes(g.asked("vector"), centres, N_PROBES)
 
