@@ -9,23 +9,40 @@ construction, so a stop word that occurs in every document never multiplies rows
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundwork.functions.text import normal_terms, normal_words, padded, phrase_text, stem, is_stop_word, tokens
-from groundwork.operators.nearest import with_ticket
+from groundwork.functions.text import is_stop_word, normal_terms, normal_words, padded, phrase_text, stem, tokens
+from groundwork.operators.nearest import HITS, Best, with_ticket
 from groundwork.schema import FUSION_DEPTH, TICKET_COLUMNS, TOP_K
-from groundwork.sizing import fits
+from groundwork.sizing import held
+
+# The most queries of a batch that are looked up in each text where it lies.
+MAX_QUERIES = 4096
+# The most (query, term) weights that every task holds, and the most numbers in one of its arrays.
+MAX_WEIGHTS = 20_000
+MAX_CELLS_HELD = 4_000_000
 
 
 def raw_words(tickets: DataFrame) -> DataFrame:
-    """(ticket_id, words): lower-cased tokens of the search text."""
-    return tickets.select("ticket_id", tokens("search_text").alias("words"))
+    """(ticket_id, words, body): lower-cased tokens of the search text, and the same as one string."""
+    return tickets.select("ticket_id", tokens("search_text").alias("words")).withColumn("body", padded("words"))
 
 
 def normalised_words(tickets: DataFrame) -> DataFrame:
-    """(ticket_id, words): stems of the search text, stop words left empty."""
-    return tickets.select("ticket_id", normal_words(tokens("search_text")).alias("words"))
+    """The same with stems for tokens and stop words left empty."""
+    words = normal_words(tokens("search_text")).alias("words")
+    return tickets.select("ticket_id", words).withColumn("body", padded("words"))
+
+
+def _holds(term: Column) -> Column:
+    """The body holds the term. Stops at the first occurrence and needs no table of the words."""
+    return F.contains("body", F.concat(F.lit(" "), term, F.lit(" ")))
 
 
 def build_postings(tickets: DataFrame) -> DataFrame:
@@ -56,17 +73,25 @@ def _sided(few: bool):
 def _anchored(documents: DataFrame, queries: DataFrame, needed: str) -> DataFrame:
     """Pairs of a document and a query whose rarest needed term the document holds, each once.
 
-    `documents` has ticket_id and words, `queries` has question_id and the array `needed`.
+    `documents` has ticket_id, words and body; `queries` has question_id and the array `needed`.
     """
+    queries, few = held(queries, MAX_QUERIES)
     wanted = queries.select("question_id", F.explode(F.array_distinct(needed)).alias("anchor"))
-    side = _sided(fits(wanted))
-    held = documents.withColumn("anchor", F.explode(F.array_distinct("words")))
-    frequency = (held.select("anchor").join(side(wanted.select("anchor").distinct()), "anchor")
+    terms = documents.select("ticket_id", F.explode(F.array_distinct("words")).alias("anchor"))
+    frequency = (terms.join(_sided(few)(wanted.select("anchor").distinct()), "anchor")
                  .groupBy("anchor").agg(F.count("*").alias("df")))
     rarest = Window.partitionBy("question_id").orderBy(F.coalesce("df", F.lit(0)), "anchor")
     anchors = (wanted.join(frequency, "anchor", "left").withColumn("place", F.row_number().over(rarest))
-               .filter(F.col("place") == 1).select("question_id", "anchor"))
-    return held.join(side(queries.join(anchors, "question_id")), "anchor").drop("anchor")
+               .filter((F.col("place") == 1) & F.col("df").isNotNull()).select("question_id", "anchor"))
+    if few:
+        # One row for each query. Cutting the words down to anchors before they are exploded keeps
+        # the body from being copied for every word of its document.
+        anchors, _ = held(anchors, MAX_QUERIES)
+        every = anchors.agg(F.collect_set("anchor")).scalar()
+        near = documents.withColumn("anchor", F.explode(F.array_intersect("words", every)))
+        return near.join(F.broadcast(queries.join(anchors, "question_id")), "anchor").drop("anchor")
+    pairs = terms.join(anchors, "anchor").drop("anchor")
+    return pairs.join(queries, "question_id").join(documents, "ticket_id")
 
 
 def phrase_matches(tickets: DataFrame, queries: DataFrame, text: str = "question", normalise: bool = False) -> DataFrame:
@@ -76,7 +101,7 @@ def phrase_matches(tickets: DataFrame, queries: DataFrame, text: str = "question
     asked = queries.select("question_id", words.alias("phrase"))
     asked = asked.withColumn("needed", F.filter("phrase", lambda w: w != ""))
     pairs = _anchored(documents, asked, "needed")
-    return pairs.filter(F.contains(padded("words"), phrase_text("phrase"))).select("question_id", "ticket_id")
+    return pairs.filter(F.contains("body", phrase_text("phrase"))).select("question_id", "ticket_id")
 
 
 def keyword_hits(tickets: DataFrame, queries: DataFrame, k: int = TOP_K, text: str = "question",
@@ -109,7 +134,7 @@ def _normal_queries(queries: DataFrame, text: str) -> DataFrame:
 
 def _all_terms(tickets: DataFrame, queries: DataFrame, text: str) -> DataFrame:
     pairs = _anchored(normalised_words(tickets), _normal_queries(queries, text), "needed")
-    return pairs.filter(F.size(F.array_except("needed", "words")) == 0)
+    return pairs.filter(F.forall("needed", _holds))
 
 
 def match_all(tickets: DataFrame, queries: DataFrame, text: str = "question") -> DataFrame:
@@ -132,26 +157,37 @@ def web_matches(tickets: DataFrame, queries: DataFrame) -> DataFrame:
     asked = queries.select(
         "question_id",
         terms_of("must").alias("q_must"), terms_of("any_of").alias("q_any"), terms_of("must_not").alias("q_not"),
-        normal_words(tokens(F.coalesce("phrase", F.lit("")))).alias("q_phrase"),
-    ).withColumn("needed", F.array_union("q_must", F.filter("q_phrase", lambda w: w != "")))
+        normal_words(tokens(F.coalesce("phrase", F.lit("")))).alias("in_phrase"),
+    ).withColumn("needed", F.array_union("q_must", F.filter("in_phrase", lambda w: w != "")))
+    # a phrase of nothing but stop words asks for nothing, and every body holds the empty string
+    asked = asked.withColumn("q_phrase", F.when(F.trim(phrase_text("in_phrase")) == "", F.lit(""))
+                             .otherwise(phrase_text("in_phrase")))
 
+    asked, few = held(asked, MAX_QUERIES)
     documents = normalised_words(tickets)
-    # With a needed term there is one anchor. Without, each alternative is an anchor of its own and
-    # the pair counts at the first alternative that the document holds.
-    anchored = _anchored(documents, asked.filter(F.size("needed") > 0), "needed")
-    loose = asked.filter((F.size("needed") == 0) & (F.size("q_any") > 0)).withColumn("anchor", F.explode("q_any"))
-    held = documents.withColumn("anchor", F.explode(F.array_distinct("words")))
-    first = F.element_at(F.array_intersect("q_any", "words"), 1)
-    alternatives = held.join(_sided(fits(loose))(loose), "anchor").filter(F.col("anchor") == first).drop("anchor")
-
-    pairs = anchored.unionByName(alternatives.select(*anchored.columns))
-    return pairs.filter(
-        (F.size(F.array_except("q_must", "words")) == 0)
-        & ((F.size("q_any") == 0) | F.arrays_overlap("q_any", "words"))
-        & ((F.size(F.filter("q_phrase", lambda w: w != "")) == 0)
-           | F.contains(padded("words"), phrase_text("q_phrase")))
-        & ~F.arrays_overlap("q_not", "words")
-    ).select("question_id", "ticket_id")
+    narrow = _anchored(documents, asked.filter(F.size("needed") > 0), "needed").filter(
+        F.forall("q_must", _holds) & ((F.size("q_any") == 0) | F.exists("q_any", _holds))
+        & F.contains("body", "q_phrase") & ~F.exists("q_not", _holds))
+
+    # Alternatives alone are broad: their pairs are as many as the result, so each pair is kept small.
+    broad = asked.filter((F.size("needed") == 0) & (F.size("q_any") > 0))
+    roles = (broad.select("question_id", F.explode("q_any").alias("term"), F.lit(False).alias("banned"))
+             .unionByName(broad.select("question_id", F.explode("q_not").alias("term"), F.lit(True).alias("banned"))))
+    terms = documents.select("ticket_id", F.explode(F.array_distinct("words")).alias("term"))
+    pairs = terms.join(_sided(few)(roles), "term").groupBy("question_id", "ticket_id").agg(
+        F.bool_or("banned").alias("banned"))
+    return (narrow.select("question_id", "ticket_id")
+            .unionByName(pairs.filter(~F.col("banned")).select("question_id", "ticket_id")))
+
+
+def _collection(tickets: DataFrame) -> tuple[Column, Column]:
+    """Number of tickets and mean length in tokens, as scalar subqueries."""
+    lengths = tickets.select(F.size(tokens("search_text")).alias("doc_len"))
+    return lengths.agg(F.count("*").cast("double")).scalar(), lengths.agg(F.avg("doc_len")).scalar()
+
+
+def _idf(df: Column, size: Column) -> Column:
+    return F.log(1 + (size - df + 0.5) / (df + 0.5))
 
 
 def bm25(tickets: DataFrame, queries: DataFrame, text: str = "question", k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -159,25 +195,74 @@ def bm25(tickets: DataFrame, queries: DataFrame, text: str = "question", k1: flo
 
     Only occurrences of query terms leave the scan, counted within each task first.
     """
-    wanted = _normal_queries(queries, text).select("question_id", F.explode("needed").alias("term"))
-    side = _sided(fits(wanted))
+    wanted, few = held(_normal_queries(queries, text).select("question_id", F.explode("needed").alias("term")), MAX_WEIGHTS)
+    side = _sided(few)
     documents = normalised_words(tickets).withColumn("doc_len", F.size("words"))
-    lengths = tickets.select(F.size(tokens("search_text")).alias("doc_len"))
-    corpus_size = lengths.agg(F.count("*").cast("double")).scalar()
-    mean_length = lengths.agg(F.avg("doc_len")).scalar()
+    size, mean_length = _collection(tickets)
 
     occurrences = documents.select("ticket_id", "doc_len", F.explode("words").alias("term"))
     found = (occurrences.join(side(wanted.select("term").distinct()), "term")
              .groupBy("ticket_id", "doc_len", "term").agg(F.count("*").alias("tf")))
     frequency = found.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (corpus_size - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = wanted.join(frequency, "term").select("question_id", "term", idf.alias("idf"))
+    weighted = wanted.join(frequency, "term").select("question_id", "term", _idf(F.col("df"), size).alias("idf"))
 
     gain = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / mean_length))
     return (found.join(side(weighted), "term").groupBy("question_id", "ticket_id")
             .agg(F.round(F.sum(gain), 6).alias("score")))
 
 
+def best_bm25(tickets: DataFrame, queries: DataFrame, depth: int = FUSION_DEPTH, text: str = "question",
+              k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """The first `depth` tickets of each query by BM25: (question_id, ticket_id, score, rank).
+
+    Scoring all pairs of a broad batch only to keep a few is wasteful, so each task multiplies its
+    term counts with the matrix of query weights and keeps `depth` rows for each query. Batches
+    whose weights are too many for every task to hold are scored by `bm25`.
+    """
+    wanted, few = held(_normal_queries(queries, text).select("question_id", F.explode("needed").alias("term")), MAX_WEIGHTS)
+    if not few:
+        return best_first(bm25(tickets, queries, text, k1, b), depth)
+    size, mean_length = _collection(tickets)
+    documents = normalised_words(tickets)
+    frequency = (documents.select(F.explode(F.array_distinct("words")).alias("term"))
+                 .join(F.broadcast(wanted.select("term").distinct()), "term")
+                 .groupBy("term").agg(F.count("*").alias("df")))
+    weights = wanted.join(frequency, "term").select(
+        "question_id", "term", _idf(F.col("df"), size).alias("idf"), mean_length.alias("mean")).toArrow()
+    if weights.num_rows == 0:
+        return tickets.sparkSession.createDataFrame([], "question_id string, ticket_id string, score double, rank int")
+
+    names = pc.unique(weights.column("question_id")).to_pylist()
+    terms = pc.unique(weights.column("term"))
+    matrix = np.zeros((len(terms), len(names)))
+    matrix[pc.index_in(weights.column("term"), value_set=terms).to_numpy(),
+           pc.index_in(weights.column("question_id"), value_set=pa.array(names)).to_numpy()] = weights.column("idf").to_numpy()
+    shared = tickets.sparkSession.sparkContext.broadcast((terms.to_pylist(), matrix))
+    mean, rows = weights.column("mean")[0].as_py(), max(1, MAX_CELLS_HELD // max(len(terms), len(names)))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, matrix = pa.array(shared.value[0], pa.string()), shared.value[1]
+        best, every = Best(len(names), depth), np.arange(len(names))
+        for batch in batches:
+            order = pc.sort_indices(batch.column("ticket_id"))
+            for start in range(0, batch.num_rows, rows):
+                part = batch.take(order.slice(start, rows))
+                words = part.column("words")
+                lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+                term = pc.index_in(words.flatten(), value_set=terms)
+                row = np.repeat(np.arange(len(lengths)), lengths)[term.is_valid().to_numpy(zero_copy_only=False)]
+                at = row * len(terms) + term.drop_null().to_numpy()
+                tf = np.bincount(at, minlength=len(lengths) * len(terms)).reshape(len(lengths), -1)
+                gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths / mean)[:, None])
+                scores = (gain @ matrix).T
+                ids = np.array(part.column("ticket_id").to_pylist(), dtype=object)
+                best.offer(ids, np.where(scores > 0, -scores, np.nan), every)
+        yield best.table(names)
+
+    scored = documents.mapInArrow(score, HITS)
+    return best_first(scored.select("question_id", "ticket_id", F.round(-F.col("distance"), 6).alias("score")), depth)
+
+
 def cover_density(tickets: DataFrame, queries: DataFrame, text: str = "question") -> DataFrame:
     """(question_id, ticket_id, score) of every ticket with all query terms, by how close they stand.
 

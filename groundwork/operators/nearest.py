@@ -25,7 +25,7 @@ from groundwork.sizing import MAX_BROADCAST_ROWS, fits
 MAX_QUESTIONS = 4096
 _QUESTION_CHUNK = 512
 _SCOPE = ("severity", "domain", "resolved_only", "cells")
-_HITS = "question_id string, ticket_id string, distance double"
+HITS = "question_id string, ticket_id string, distance double"
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -43,7 +43,7 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.where(length == 0, np.nan, length)
 
 
-class _Best:
+class Best:
     """The k nearest rows so far for each question, ordered by six-place distance, then id."""
 
     def __init__(self, n_questions: int, k: int):
@@ -60,21 +60,19 @@ class _Best:
         if len(order) == self.k:
             self.worst[question] = np.rint(distances[order[-1]] * 1e6)
 
-    def offer(self, ids: np.ndarray, vectors: np.ndarray, which: np.ndarray, asked: np.ndarray) -> None:
-        """Rows (sorted by id, unit vectors) against the questions numbered `which`."""
-        n = len(ids)
-        for start in range(0, len(which), _QUESTION_CHUNK):
-            part = which[start:start + _QUESTION_CHUNK]
-            distances = 1.0 - asked[part] @ vectors.T
-            steps = np.rint(distances * 1e6)
-            hopeful = np.nonzero((steps <= self.worst[part, None]).any(axis=1))[0]
-            for row in hopeful:
-                valid = np.nonzero(steps[row] <= self.worst[part[row]])[0]
-                if len(valid) > self.k:
-                    # distance and position in one integer, so ties fall to the smaller id
-                    key = steps[row, valid].astype(np.int64) * n + valid
-                    valid = valid[np.argpartition(key, self.k - 1)[: self.k]]
-                self.add(part[row], ids[valid], distances[row, valid])
+    def offer(self, ids: np.ndarray, distances: np.ndarray, which: np.ndarray) -> None:
+        """Distances of the questions numbered `which` (rows) to the tickets `ids` (columns, in order).
+
+        NaN means that the ticket is no candidate.
+        """
+        steps = np.rint(distances * 1e6)
+        for row in np.nonzero((steps <= self.worst[which, None]).any(axis=1))[0]:
+            valid = np.nonzero(steps[row] <= self.worst[which[row]])[0]
+            if len(valid) > self.k:
+                # distance and position in one integer, so ties fall to the smaller id
+                key = steps[row, valid].astype(np.int64) * len(ids) + valid
+                valid = valid[np.argpartition(key, self.k - 1)[: self.k]]
+            self.add(which[row], ids[valid], distances[row, valid])
 
     def table(self, names: list[str]) -> pa.RecordBatch:
         counts = [len(x) for x in self.ids]
@@ -101,7 +99,7 @@ def _rows_in_scope(batch: pa.RecordBatch, scope: dict) -> np.ndarray:
 
 def _scan(names: list[str], asked: np.ndarray, scopes: list[tuple[dict, np.ndarray]], k: int,
           batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    best = _Best(len(names), k)
+    best = Best(len(names), k)
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -113,8 +111,9 @@ def _scan(names: list[str], asked: np.ndarray, scopes: list[tuple[dict, np.ndarr
         ids, vectors = ids[order], vectors[order]
         for scope, which in scopes:
             rows = np.sort(place[_rows_in_scope(batch, scope)])
-            if len(rows):
-                best.offer(ids[rows], vectors[rows], which, asked)
+            for start in range(0, len(which) if len(rows) else 0, _QUESTION_CHUNK):
+                part = which[start:start + _QUESTION_CHUNK]
+                best.offer(ids[rows], 1.0 - asked[part] @ vectors[rows].T, part)
     yield best.table(names)
 
 
@@ -135,13 +134,13 @@ def candidates(corpus: DataFrame, questions: DataFrame, k: int, max_questions: i
     if sample.num_rows > max_questions:
         return _candidates_by_block(corpus, questions, scope, k)
     if sample.num_rows == 0:
-        return corpus.sparkSession.createDataFrame([], _HITS)
+        return corpus.sparkSession.createDataFrame([], HITS)
 
     names = sample.column("question_id").to_pylist()
     scopes = _group_scopes(sample.select(scope).to_pylist() if scope else [{}] * len(names))
     shared = corpus.sparkSession.sparkContext.broadcast(unit(matrix(sample.column("q_vector"))))
 
-    return corpus.mapInArrow(lambda batches: _scan(names, shared.value, scopes, k, batches), _HITS)
+    return corpus.mapInArrow(lambda batches: _scan(names, shared.value, scopes, k, batches), HITS)
 
 
 def _group_scopes(rows: list[dict]) -> list[tuple[dict, np.ndarray]]:
@@ -165,7 +164,7 @@ def _candidates_by_block(corpus: DataFrame, questions: DataFrame, scope: list[st
     return join_blocks(
         questions.select("question_id", "q_vector", *scope).withColumn("block_cell", F.lit(0)),
         corpus.withColumn("block_cell", F.lit(0)),
-        "question_id", "ticket_id", nearest_in_block, _HITS)
+        "question_id", "ticket_id", nearest_in_block, HITS)
 
 
 def nearest(corpus: DataFrame, questions: DataFrame, k: int = TOP_K, max_questions: int = MAX_QUESTIONS) -> DataFrame:
@@ -207,4 +206,5 @@ def plain_english_search(tickets: DataFrame, corpus: DataFrame, questions: DataF
 def vector_search(tickets: DataFrame, corpus: DataFrame, vector: Column, k: int = TOP_K) -> DataFrame:
     """One question against the corpus, all in JVM expressions: a top-k of the scan."""
     measured = corpus.select("ticket_id", six_places(cosine_distance(F.col("embedding"), vector)).alias("distance"))
-    return measured.filter(F.col("distance").isNotNull()).orderBy("distance", "ticket_id").limit(k)
+    first = measured.orderBy(F.col("distance").asc_nulls_last(), "ticket_id").limit(k)
+    return first.filter(F.col("distance").isNotNull())

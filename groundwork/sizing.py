@@ -18,3 +18,14 @@ def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """`df` with a broadcast hint if it is proven small; unchanged (shuffle join) if not."""
     return F.broadcast(df) if fits(df, max_rows) else df
 
+
+def held(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
+    """`df` as a local table if it has at most `max_rows` rows, and whether it has.
+
+    For the question side of a search: it is computed once here instead of in every join it is part
+    of. No more than one row beyond the bound is ever fetched.
+    """
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
+        return df, False
+    return df.sparkSession.createDataFrame(rows, df.schema), True
