@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwork.functions.numbers import six_places
-from groundwork.operators.blocks import join_blocks
+from groundwork.operators.blocks import BLOCK_ROWS, join_blocks
 from groundwork.operators.nearest import matrix, unit
 from groundwork.schema import SIMILAR_MAX_DISTANCE, SIMILAR_PER_TICKET
 from groundwork.session import materialise
@@ -116,7 +116,8 @@ def _near_in_block(max_distance: float, per_ticket: int):
 
 
 def similar_to(tickets: DataFrame, max_distance: float = SIMILAR_MAX_DISTANCE,
-               per_ticket: int = SIMILAR_PER_TICKET, pivots: int | None = None) -> DataFrame:
+               per_ticket: int = SIMILAR_PER_TICKET, pivots: int | None = None,
+               block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(src, dst, distance to six places), at most `per_ticket` edges out of each ticket.
 
     `tickets` has ticket_id, error_code and embedding. Distances are compared after rounding to six
@@ -148,7 +149,7 @@ def similar_to(tickets: DataFrame, max_distance: float = SIMILAR_MAX_DISTANCE,
     visits = _visits(sources.filter(directed), centres, nearest, farthest, reach)
     within = placed.drop("angle").withColumnRenamed("embedding", "target_embedding")
     found = join_blocks(visits, within, "ticket_id", "target_id",
-                        _near_in_block(max_distance, per_ticket), "source string, dst string, distance double")
+                        _near_in_block(max_distance, per_ticket), "source string, dst string, distance double", block_rows)
     by_source = Window.partitionBy("source").orderBy("step", "dst")
     edges = (found.withColumn("step", six_places(F.col("distance")))
              .withColumn("place", F.row_number().over(by_source)).filter(F.col("place") <= per_ticket)
