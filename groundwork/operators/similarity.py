@@ -155,10 +155,10 @@ def similar_to(tickets: DataFrame, max_distance: float = SIMILAR_MAX_DISTANCE,
              .withColumn("place", F.row_number().over(by_source)).filter(F.col("place") <= per_ticket)
              .select("source", "dst", F.col("step").alias("distance")))
 
-    # Every ticket takes the edges of the source with its vector and code.
+    # Every ticket takes the edges of the source with its vector and code, at most `per_ticket` in a
+    # list. Sources are one row for each key, so a vector with very many tickets is split as skew.
+    listed = edges.groupBy("source").agg(F.collect_list(F.struct("dst", "distance")).alias("edges"))
     known_by = sources.select(F.col("ticket_id").alias("source"), F.xxhash64("embedding").alias("vector_key"),
-                              "error_code", "embedding")
-    members = base.join(edges.select("source").distinct().join(known_by, "source"),
-                        ["vector_key", "error_code", "embedding"])
-    return (members.select(F.col("ticket_id").alias("src"), "source").join(edges, "source")
-            .select("src", "dst", "distance"))
+                              "error_code", "embedding").join(listed, "source")
+    members = base.join(known_by, ["vector_key", "error_code", "embedding"])
+    return members.select(F.col("ticket_id").alias("src"), F.inline("edges"))
