@@ -39,9 +39,12 @@ def join_blocks(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
             .drop("left_blocks", "right_blocks")
         )
 
+    # Work grows with the product of the block sizes and not with bytes, so the partitions are not
+    # merged by their bytes: the number is fixed to that of a shuffle.
     keys = ["block_cell", "left_block", "right_block"]
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        spread(left, left_id, "left", "right").groupBy(*keys)
-        .cogroup(spread(right, right_id, "right", "left").groupBy(*keys))
+        spread(left, left_id, "left", "right").repartition(parts, *keys).groupBy(*keys)
+        .cogroup(spread(right, right_id, "right", "left").repartition(parts, *keys).groupBy(*keys))
         .applyInArrow(pair, schema)
     )

@@ -11,6 +11,8 @@ Pruning. Vectors are assigned to the nearest of some pivots. Angles obey the tri
 a source at angle a from a pivot can only reach targets at an angle between a - t and a + t from it,
 t being the threshold's angle. A source visits just the cells whose range of angles meets that band.
 
+If most sources would visit most cells there is nothing to prune, and all is one cell.
+
 Blocks. Each cell is cut into equal blocks (see blocks.py), so a crowded cell is many small tasks.
 """
 
@@ -31,6 +33,8 @@ from groundwork.session import materialise
 
 # At most 1024 pivots are held by the driver and by each task, whatever the corpus size.
 MAX_PIVOTS = 1024
+# Beyond this share of visited cells, pruning costs more than it saves.
+MAX_VISITED = 0.5
 _SLACK = 1e-6
 _CHUNK = 512
 
@@ -99,8 +103,7 @@ def _near_in_block(max_distance: float, per_ticket: int):
             part = slice(start, start + _CHUNK)
             distances = 1.0 - sources[part] @ targets.T
             steps = np.rint(distances * 1e6)
-            steps[code[part, None] == other[None, :]] = np.inf
-            steps[~(np.rint(distances * 1e6) / 1e6 < max_distance)] = np.inf
+            steps[(code[part, None] == other[None, :]) | ~(steps / 1e6 < max_distance)] = np.inf
             for _ in range(min(per_ticket, len(ids))):
                 best = steps.argmin(axis=1)  # the first of equals, and ids are in order
                 found = np.nonzero(np.isfinite(steps[np.arange(len(best)), best]))[0]
@@ -148,6 +151,10 @@ def similar_to(tickets: DataFrame, max_distance: float = SIMILAR_MAX_DISTANCE,
 
     visits = _visits(sources.filter(directed), centres, nearest, farthest, reach)
     within = placed.drop("angle").withColumnRenamed("embedding", "target_embedding")
+    if visits.count() > MAX_VISITED * len(cells) * sources.count():
+        # vectors without clusters: cells would only repeat every source, so there is one cell
+        visits = sources.filter(directed).withColumn("block_cell", F.lit(0))
+        within = within.withColumn("block_cell", F.lit(0))
     found = join_blocks(visits, within, "ticket_id", "target_id",
                         _near_in_block(max_distance, per_ticket), "source string, dst string, distance double", block_rows)
     by_source = Window.partitionBy("source").orderBy("step", "dst")

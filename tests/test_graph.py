@@ -20,8 +20,9 @@ def _brute_edges(rows, threshold, per_ticket):
     return edges
 
 
-@pytest.mark.parametrize("pivots,block_rows,per_ticket", [(1, 4000, 2), (5, 7, 2), (12, 40, 3)])
-def test_similar_edges_equal_brute_force_with_copies(spark, pivots, block_rows, per_ticket):
+@pytest.mark.parametrize("pivots,block_rows,per_ticket,visited", [(1, 4000, 2, 0.5), (5, 7, 2, 1.0), (12, 40, 3, 1.0), (12, 30, 2, 0.0)])
+def test_similar_edges_equal_brute_force_with_copies(spark, monkeypatch, pivots, block_rows, per_ticket, visited):
+    monkeypatch.setattr(similarity, "MAX_VISITED", visited)
     rng = np.random.default_rng(pivots)
     vectors = rng.normal(size=(150, 5)).astype(np.float32)
     vectors[:50] = vectors[0]

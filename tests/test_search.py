@@ -194,3 +194,15 @@ def test_recall_rises_with_cells_and_is_exact_with_all(spark):
         scanned.append(sum(r["candidates"] for r in report))
     assert recall == sorted(recall) and recall[-1] == 6.0
     assert scanned == sorted(scanned) and scanned[-1] == 6 * 240
+
+
+def test_bucketed_postings_need_no_shuffle(spark):
+    postings = keyword.build_postings(tickets(spark))
+    keyword.store_postings(postings, "postings_by_ticket", 4)
+    try:
+        stored = spark.table("postings_by_ticket")
+        counted = keyword.term_frequencies(stored)
+        assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, keyword.term_frequencies(postings).collect()))
+    finally:
+        spark.sql("DROP TABLE postings_by_ticket")
