@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwork.functions.numbers import six_places
-from groundwork.operators.blocks import BLOCK_ROWS, join_blocks
+from groundwork.operators.blocks import BLOCK_ROWS, cell_counts, join_blocks
 from groundwork.operators.nearest import matrix, unit
 from groundwork.schema import SIMILAR_MAX_DISTANCE, SIMILAR_PER_TICKET
 from groundwork.session import materialise
@@ -149,14 +149,17 @@ def similar_to(tickets: DataFrame, max_distance: float = SIMILAR_MAX_DISTANCE,
     nearest[cells], farthest[cells] = ranges.column("low").to_numpy(), ranges.column("high").to_numpy()
     reach = float(np.arccos(np.clip(1.0 - max_distance, -1.0, 1.0)))
 
-    visits = _visits(sources.filter(directed), centres, nearest, farthest, reach)
+    sources = sources.filter(directed)
+    visits = _visits(sources, centres, nearest, farthest, reach)
     within = placed.drop("angle").withColumnRenamed("embedding", "target_embedding")
-    if visits.count() > MAX_VISITED * len(cells) * sources.count():
+    visit_counts, target_counts = cell_counts(visits), cell_counts(within)
+    n_sources = sources.count()
+    if visit_counts.sum() > MAX_VISITED * len(cells) * n_sources:
         # vectors without clusters: cells would only repeat every source, so there is one cell
-        visits = sources.filter(directed).withColumn("block_cell", F.lit(0))
-        within = within.withColumn("block_cell", F.lit(0))
-    found = join_blocks(visits, within, "ticket_id", "target_id",
-                        _near_in_block(max_distance, per_ticket), "source string, dst string, distance double", block_rows)
+        visits, within = sources.withColumn("block_cell", F.lit(0)), within.withColumn("block_cell", F.lit(0))
+        visit_counts, target_counts = np.array([n_sources]), np.array([target_counts.sum()])
+    found = join_blocks(visits, within, "ticket_id", "target_id", _near_in_block(max_distance, per_ticket),
+                        "source string, dst string, distance double", block_rows, visit_counts, target_counts)
     by_source = Window.partitionBy("source").orderBy("step", "dst")
     edges = (found.withColumn("step", six_places(F.col("distance")))
              .withColumn("place", F.row_number().over(by_source)).filter(F.col("place") <= per_ticket)
