@@ -27,6 +27,7 @@ MAX_QUERIES = 4096
 # The most (query, term) weights that every task holds, and the most numbers in one of its arrays.
 MAX_WEIGHTS = 20_000
 MAX_CELLS_HELD = 4_000_000
+PAIR_BATCH = 100_000
 
 
 def raw_words(tickets: DataFrame) -> DataFrame:
@@ -190,38 +191,23 @@ def _idf(df: Column, size: Column) -> Column:
     return F.log(1 + (size - df + 0.5) / (df + 0.5))
 
 
-def bm25(tickets: DataFrame, queries: DataFrame, text: str = "question", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(question_id, ticket_id, score) of every ticket with a query term (Robertson and Zaragoza 2009).
+def _wanted_terms(queries: DataFrame, text: str) -> tuple[DataFrame, bool]:
+    return held(_normal_queries(queries, text).select("question_id", F.explode("needed").alias("term")), MAX_WEIGHTS)
 
-    Only occurrences of query terms leave the scan, counted within each task first.
-    """
-    wanted, few = held(_normal_queries(queries, text).select("question_id", F.explode("needed").alias("term")), MAX_WEIGHTS)
-    side = _sided(few)
-    documents = normalised_words(tickets).withColumn("doc_len", F.size("words"))
-    size, mean_length = _collection(tickets)
 
-    occurrences = documents.select("ticket_id", "doc_len", F.explode("words").alias("term"))
-    found = (occurrences.join(side(wanted.select("term").distinct()), "term")
-             .groupBy("ticket_id", "doc_len", "term").agg(F.count("*").alias("tf")))
-    frequency = found.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = wanted.join(frequency, "term").select("question_id", "term", _idf(F.col("df"), size).alias("idf"))
+def _pairs_of(scores: np.ndarray, names: pa.Array, ids: pa.Array) -> Iterator[pa.RecordBatch]:
+    """All positive scores of a (query, ticket) matrix as rows, in batches of moderate size."""
+    query, ticket = np.nonzero(scores > 0)
+    for start in range(0, len(query), PAIR_BATCH):
+        q, t = query[start:start + PAIR_BATCH], ticket[start:start + PAIR_BATCH]
+        yield pa.RecordBatch.from_arrays(
+            [names.take(pa.array(q)), ids.take(pa.array(t)), pa.array(-scores[q, t])],
+            names=["question_id", "ticket_id", "distance"])
 
-    gain = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / mean_length))
-    return (found.join(side(weighted), "term").groupBy("question_id", "ticket_id")
-            .agg(F.round(F.sum(gain), 6).alias("score")))
-
-
-def best_bm25(tickets: DataFrame, queries: DataFrame, depth: int = FUSION_DEPTH, text: str = "question",
-              k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The first `depth` tickets of each query by BM25: (question_id, ticket_id, score, rank).
 
-    Scoring all pairs of a broad batch only to keep a few is wasteful, so each task multiplies its
-    term counts with the matrix of query weights and keeps `depth` rows for each query. Batches
-    whose weights are too many for every task to hold are scored by `bm25`.
-    """
-    wanted, few = held(_normal_queries(queries, text).select("question_id", F.explode("needed").alias("term")), MAX_WEIGHTS)
-    if not few:
-        return best_first(bm25(tickets, queries, text, k1, b), depth)
+def _scored_in_place(tickets: DataFrame, wanted: DataFrame, depth: int | None, k1: float, b: float) -> DataFrame:
+    """(question_id, ticket_id, score) without moving a text: each task multiplies its term counts with
+    the matrix of query weights. With `depth`, it keeps that many rows for each query; else all."""
     size, mean_length = _collection(tickets)
     documents = normalised_words(tickets)
     frequency = (documents.select(F.explode(F.array_distinct("words")).alias("term"))
@@ -230,37 +216,71 @@ def best_bm25(tickets: DataFrame, queries: DataFrame, depth: int = FUSION_DEPTH,
     weights = wanted.join(frequency, "term").select(
         "question_id", "term", _idf(F.col("df"), size).alias("idf"), mean_length.alias("mean")).toArrow()
     if weights.num_rows == 0:
-        return tickets.sparkSession.createDataFrame([], "question_id string, ticket_id string, score double, rank int")
+        return tickets.sparkSession.createDataFrame([], "question_id string, ticket_id string, score double")
 
-    names = pc.unique(weights.column("question_id")).to_pylist()
-    terms = pc.unique(weights.column("term"))
+    names, terms = pc.unique(weights.column("question_id")), pc.unique(weights.column("term"))
     matrix = np.zeros((len(terms), len(names)))
     matrix[pc.index_in(weights.column("term"), value_set=terms).to_numpy(),
-           pc.index_in(weights.column("question_id"), value_set=pa.array(names)).to_numpy()] = weights.column("idf").to_numpy()
-    shared = tickets.sparkSession.sparkContext.broadcast((terms.to_pylist(), matrix))
+           pc.index_in(weights.column("question_id"), value_set=names).to_numpy()] = weights.column("idf").to_numpy()
+    shared = tickets.sparkSession.sparkContext.broadcast((names.to_pylist(), terms.to_pylist(), matrix))
     mean, rows = weights.column("mean")[0].as_py(), max(1, MAX_CELLS_HELD // max(len(terms), len(names)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, matrix = pa.array(shared.value[0], pa.string()), shared.value[1]
-        best, every = Best(len(names), depth), np.arange(len(names))
+        names, terms, matrix = shared.value
+        name_array, term_array = pa.array(names, pa.string()), pa.array(terms, pa.string())
+        best, every = Best(len(names), depth or 1), np.arange(len(names))
         for batch in batches:
             order = pc.sort_indices(batch.column("ticket_id"))
             for start in range(0, batch.num_rows, rows):
                 part = batch.take(order.slice(start, rows))
                 words = part.column("words")
                 lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False)
-                term = pc.index_in(words.flatten(), value_set=terms)
+                term = pc.index_in(words.flatten(), value_set=term_array)
                 row = np.repeat(np.arange(len(lengths)), lengths)[term.is_valid().to_numpy(zero_copy_only=False)]
                 at = row * len(terms) + term.drop_null().to_numpy()
                 tf = np.bincount(at, minlength=len(lengths) * len(terms)).reshape(len(lengths), -1)
                 gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths / mean)[:, None])
                 scores = (gain @ matrix).T
-                ids = np.array(part.column("ticket_id").to_pylist(), dtype=object)
-                best.offer(ids, np.where(scores > 0, -scores, np.nan), every)
-        yield best.table(names)
+                if depth is None:
+                    yield from _pairs_of(scores, name_array, part.column("ticket_id"))
+                else:
+                    ids = np.array(part.column("ticket_id").to_pylist(), dtype=object)
+                    best.offer(ids, np.where(scores > 0, -scores, np.nan), every)
+        if depth is not None:
+            yield best.table(names)
+
+    found = documents.select("ticket_id", "words").mapInArrow(score, HITS)
+    return found.select("question_id", "ticket_id", F.round(-F.col("distance"), 6).alias("score"))
+
 
-    scored = documents.mapInArrow(score, HITS)
-    return best_first(scored.select("question_id", "ticket_id", F.round(-F.col("distance"), 6).alias("score")), depth)
+def _scored_by_join(tickets: DataFrame, wanted: DataFrame, k1: float, b: float) -> DataFrame:
+    """The same for more weights than a task can hold. Only occurrences of query terms leave the scan,
+    counted within each task first."""
+    documents = normalised_words(tickets).withColumn("doc_len", F.size("words"))
+    size, mean_length = _collection(tickets)
+    occurrences = documents.select("ticket_id", "doc_len", F.explode("words").alias("term"))
+    found = (occurrences.join(wanted.select("term").distinct(), "term")
+             .groupBy("ticket_id", "doc_len", "term").agg(F.count("*").alias("tf")))
+    frequency = found.groupBy("term").agg(F.count("*").alias("df"))
+    weighted = wanted.join(frequency, "term").select("question_id", "term", _idf(F.col("df"), size).alias("idf"))
+
+    gain = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / mean_length))
+    return (found.join(weighted, "term").groupBy("question_id", "ticket_id")
+            .agg(F.round(F.sum(gain), 6).alias("score")))
+
+
+def bm25(tickets: DataFrame, queries: DataFrame, text: str = "question", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(question_id, ticket_id, score) of every ticket with a query term (Robertson and Zaragoza 2009)."""
+    wanted, few = _wanted_terms(queries, text)
+    return _scored_in_place(tickets, wanted, None, k1, b) if few else _scored_by_join(tickets, wanted, k1, b)
+
+
+def best_bm25(tickets: DataFrame, queries: DataFrame, depth: int = FUSION_DEPTH, text: str = "question",
+              k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """The first `depth` tickets of each query by BM25: (question_id, ticket_id, score, rank)."""
+    wanted, few = _wanted_terms(queries, text)
+    scores = _scored_in_place(tickets, wanted, depth, k1, b) if few else _scored_by_join(tickets, wanted, k1, b)
+    return best_first(scores, depth)
 
 
 def cover_density(tickets: DataFrame, queries: DataFrame, text: str = "question") -> DataFrame:

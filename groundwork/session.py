@@ -32,11 +32,12 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="groundwork-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not hasattr(context, "_groundwork_folder"):
+        context._groundwork_folder = tempfile.mkdtemp(prefix="groundwork-")
+    return context._groundwork_folder
 
 
 def materialise(df: DataFrame) -> DataFrame:
