@@ -70,10 +70,11 @@ def with_probes(questions: DataFrame, centres: np.ndarray, nprobe: int) -> DataF
 def approximate_nearest(corpus: DataFrame, questions: DataFrame, k: int = TOP_K) -> DataFrame:
     """(question_id, rank, distance, ticket_id) from the probed cells only.
 
-    The join with the probed cells (at most MAX_CELLS rows) prunes partitions of a stored corpus.
+    Probed cells, at most MAX_CELLS numbers, are a filter on the partition column, so a stored corpus
+    reads no other files.
     """
-    probed = questions.select(F.explode("cells").alias("cell")).distinct()
-    visited = corpus.join(F.broadcast(probed), "cell", "left_semi")
+    probed = questions.select(F.explode("cells").alias("cell")).distinct().toArrow().column("cell").to_pylist()
+    visited = corpus.filter(F.col("cell").isin(probed))
     return nearest(visited, questions, k).select("question_id", "rank", "distance", "ticket_id")
 
 

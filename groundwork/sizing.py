@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 # Rows of a few hundred bytes each, so tens of megabytes at most.
 MAX_BROADCAST_ROWS = 100_000
@@ -14,11 +13,6 @@ def fits(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if it is proven small; unchanged (shuffle join) if not."""
-    return F.broadcast(df) if fits(df, max_rows) else df
-
-
 def held(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     """`df` as a local table if it has at most `max_rows` rows, and whether it has.
 

@@ -183,7 +183,7 @@ def test_hybrid_finds_code_and_symptom(spark):
     assert all(0 < s <= round(2 / 61, 5) for s in scores)
 
 
-def test_recall_rises_with_cells_and_is_exact_with_all(spark):
+def test_recall_rises_with_cells_and_is_exact_with_all(spark, tmp_path):
     rng = np.random.default_rng(11)
     corpus = spark.createDataFrame([(f"INC-2026-{i:05d}", v.tolist()) for i, v in enumerate(rng.normal(size=(240, 6)))],
                                    "ticket_id string, embedding array<float>").cache()
@@ -198,6 +198,13 @@ def test_recall_rises_with_cells_and_is_exact_with_all(spark):
     assert recall == sorted(recall) and recall[-1] == 6.0
     assert scanned == sorted(scanned) and scanned[-1] == 6 * 240
 
+    path = str(tmp_path / "cells")
+    cells.store_cells(celled, path)
+    probes = cells.with_probes(asked, centres, 1)
+    stored = cells.approximate_nearest(spark.read.parquet(path), probes)
+    assert "PartitionFilters: [cell" in stored._jdf.queryExecution().toString()
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, cells.approximate_nearest(celled, probes).collect()))
+
 
 def test_bucketed_postings_need_no_shuffle(spark):
     postings = keyword.build_postings(tickets(spark))
