@@ -30,8 +30,8 @@ SLACK = 1e-9
 class Hashing:
     """`tables` independent rotations; `probes` signed axes visited in each; `seed` of the random signs."""
 
-    tables: int = 8
-    probes: int = 8
+    tables: int = 10
+    probes: int = 12
     seed: int = 42
 
     def rotated(self, unit: np.ndarray, number: int) -> np.ndarray:
@@ -121,8 +121,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, hashing: Hashing
 
     `vectors` and `queries` both hold `row_id` and `vector`; other columns are ignored. Rows whose id is
     null, or whose vector is null, empty, zero, of another length than most, or holds a null or
-    non-finite component, take no part. Repeated rows are candidates each; a query id that occurs
-    twice is searched once (by the vector that sorts first). Ties go to the smaller vec_id. An empty
+    non-finite component, take no part. An id that occurs twice is found once, by its best vector, and
+    searched once, by the vector that sorts first. Ties go to the smaller vec_id. An empty
     table gives an empty result.
     """
     rows = usable_vectors(vectors, row_id, vector)
