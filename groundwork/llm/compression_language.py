@@ -1,7 +1,7 @@
 """Language identification by compression with per-language dictionaries.
 
-Each language has a zstandard dictionary of raw content: text of that language. A text is compressed
-with every dictionary, and the language whose result is smallest wins. Where the two smallest results
+Each language has a zstandard dictionary of raw content: text of that language. A text in lower case is
+compressed with every dictionary, and the language whose result is smallest wins. Where the two smallest results
 are too close, the text is rejected.
 
 The dictionaries are fitted on a bounded sample: of each language at most `Sample.documents` distinct
@@ -21,7 +21,11 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
-LEVEL = 3
+# Lazy matching down to four bytes: shorter matches than usual, as the dictionary is all that tells languages apart.
+SETTINGS = dict(min_match=4, strategy=zstandard.STRATEGY_LAZY2, window_log=18, write_content_size=0, write_checksum=0, write_dict_id=0)
+LEVEL = 7
+# Sizes are whole bytes, so of a shorter text than this a narrow margin says nothing, and it is not rejected for it.
+LEAST_CHARACTERS = 200
 # A long text is compressed in blocks, or its own earlier parts would outweigh the dictionary.
 BLOCK_BYTES = 4096
 MAX_LANGUAGES = 1000
@@ -62,7 +66,7 @@ def fit(labelled: DataFrame, sample: Sample = Sample(), text: str = "text", lang
     for row in kept.select("lang", "n", "text").orderBy("lang", F.col("n").desc()).collect():
         parts.setdefault(row.lang, []).append(row.text)
     names = [row.lang for row in sizes]
-    return Model(names, ["\n".join(parts[name]).encode() for name in names])
+    return Model(names, ["\n".join(parts[name]).lower().encode() for name in names])
 
 
 class Scorer:
@@ -73,11 +77,12 @@ class Scorer:
         self.compressors = []
         for content in model.contents:
             made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            made.precompute_compress(level=LEVEL)
-            self.compressors.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=made, write_content_size=False))
+            settings = zstandard.ZstdCompressionParameters.from_level(LEVEL, **SETTINGS)
+            made.precompute_compress(compression_params=settings)
+            self.compressors.append(zstandard.ZstdCompressor(dict_data=made, compression_params=settings))
 
     def sizes(self, text: str) -> list[int]:
-        raw = text.encode()
+        raw = text.lower().encode()
         blocks = [raw[at : at + BLOCK_BYTES] for at in range(0, len(raw), BLOCK_BYTES)]
         return [sum(len(c.compress(block)) for block in blocks) for c in self.compressors]
 
@@ -96,19 +101,22 @@ def predict(docs: DataFrame, model: Model, min_margin: float = 0.0, carry: tuple
     """The columns `carry` of every row, and lang_pred, score, rejected.
 
     score is the margin between the two smallest sizes. rejected is true where the language is `und`
-    (a null text, or one without a letter, or no language learned) or the margin is below `min_margin`.
+    (a null text, or one without a letter, or no language learned), or where the margin of a text of
+    LEAST_CHARACTERS or more is below `min_margin`.
     Repeated rows and rows with nulls in other columns stay; an empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_LANGUAGES and Sample
-    kept = docs.select(*carry, F.col(text).alias("_text"))
+    kept = docs.select(*carry, F.col(text).alias("_text"), F.length(text).alias("_size"))
     names = list(carry)
-    schema = kept.drop("_text").schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    schema = kept.drop("_text", "_size").schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
 
     def run(batches):
         scorer = Scorer(sent.value)
         for batch in batches:
             found = [scorer.predict(t.as_py()) for t in batch.column("_text")]
-            low = [lang == UNKNOWN or margin < min_margin for lang, margin in found]
+            sizes = batch.column("_size").to_pylist()
+            low = [lang == UNKNOWN or (margin < min_margin and size >= LEAST_CHARACTERS)
+                   for (lang, margin), size in zip(found, sizes)]
             yield pa.record_batch([*(batch.column(n) for n in names), pa.array([f[0] for f in found], pa.string()),
                                    pa.array([f[1] for f in found], pa.float64()), pa.array(low, pa.bool_())],
                                   [*names, "lang_pred", "score", "rejected"])

@@ -169,13 +169,13 @@ def test_one_of_each_group_stays(spark, odd_documents):
 
 def test_language_is_right_on_held_out_documents(spark, documents):
     got = queries.op3_language(spark, SF).join(documents.select("doc_id", "lang"), "doc_id").filter("held_out")
-    assert got.filter("lang = lang_pred").count() / got.count() >= 0.95
+    assert got.filter("lang = lang_pred").count() / got.count() >= 0.98
     assert got.filter("score < 0 or score > 1").count() == 0
 
 
 def test_odd_texts_have_no_language(spark, documents, odd_documents):
     model = compression_language.fit(documents)
-    got = compression_language.predict(odd_documents, model, 0.001, ("doc_id",)).collect()
+    got = compression_language.predict(odd_documents, model, 0.004, ("doc_id",)).collect()
     assert len(got) == odd_documents.count()
     assert all(r.lang_pred == "und" and r.rejected for r in got if r.doc_id in (1, 2, 3, 6))
     assert {r.lang_pred for r in got if r.doc_id in (4, 8)} == {"en"}
