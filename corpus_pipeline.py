@@ -11,7 +11,7 @@ from groundwork.llm.queries import PIECE_MODEL
 from groundwork.session import materialise, ship
 
 # A margin below this is no decision: clear text of any learned language has several times as much.
-MIN_MARGIN = 0.001
+MIN_MARGIN = 0.004
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
