@@ -156,11 +156,10 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, how: Disclosure = Disclo
     totals = near.groupBy("entity").agg(F.count("*").alias("c")).filter(F.col("c") >= how.support)
     both = near.select("entity", F.explode("context").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("b"))
     both = materialise(both.filter(F.col("b") >= how.support).join(totals, "entity"))
-    # Only terms that stand near an entity often enough are counted in all texts. That list is written,
-    # so Spark knows its size and broadcasts it only if that is within its own bound.
-    asked = materialise(both.select("term").distinct())
+    # Words are counted before they meet the terms that stand near an entity: joining first would make a
+    # row for each text that holds a common word.
     held = docs.select(F.explode(F.array_distinct(words_of(F.coalesce(F.col(text), F.lit(""))))).alias("term"))
-    spread = held.join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("t"))
+    spread = held.groupBy("term").agg(F.count("*").alias("t"))
     n = float(max(docs.count(), 1))
     scored = both.join(spread, "term")
     pmi = F.log(F.col("b") * F.lit(n) / (F.col("c") * F.col("t")))
