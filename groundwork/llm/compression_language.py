@@ -16,9 +16,11 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from groundwork.llm.common import best_rows
+
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 # Lazy matching down to four bytes: shorter matches than usual, as the dictionary is all that tells languages apart.
@@ -59,11 +61,9 @@ def fit(labelled: DataFrame, sample: Sample = Sample(), text: str = "text", lang
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     # The hash of the text puts copies side by side, so each text is taken once.
     short = rows.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, sample.characters).alias("text"))
-    order = Window.partitionBy("lang").orderBy("h", "text")
-    kept = short.dropDuplicates(["lang", "h"]) if sample.documents > 1 else short
-    kept = kept.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample.documents)
+    kept = best_rows(short.dropDuplicates(["lang", "h"]), "lang", [F.col("h"), F.col("text")], sample.documents, "h")
     parts: dict[str, list[str]] = {}
-    for row in kept.select("lang", "n", "text").orderBy("lang", F.col("n").desc()).collect():
+    for row in kept.select("lang", "rank", "text").orderBy("lang", F.col("rank").desc()).collect():
         parts.setdefault(row.lang, []).append(row.text)
     names = [row.lang for row in sizes]
     return Model(names, ["\n".join(parts[name]).lower().encode() for name in names])

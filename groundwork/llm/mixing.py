@@ -27,6 +27,7 @@ TOPICS = {
     "code": "def|class|import|return|function|void|int|const",
 }
 GENERAL = "general"
+MARKS = r"""[\s.,;:!?()"'=]+"""
 
 
 @dataclass(frozen=True)
@@ -41,24 +42,31 @@ class Mix:
     sweeps: int = 30
 
 
-def topic(text: Column) -> Column:
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"\b(?:" + "|".join(TOPICS.values()) + r")\b"), F.lit(0))
-    counts = [_topic_count(words, names, place, name) for place, (name, names) in enumerate(TOPICS.items())]
-    best = F.array_max(F.array(*counts))
-    return F.when(best["n"] > 0, best["topic"]).otherwise(GENERAL)
+def content(text: Column) -> Column:
+    """tokens (words, at least 1) and topic of a text that is not null."""
+    known = [w for names in TOPICS.values() for w in names.split("|")]
 
+    def counted(words: Column) -> Column:
+        hits = F.filter(words, lambda w: w.isin(*known))
 
-def _topic_count(words: Column, names: str, place: int, name: str) -> Column:
-    n = F.size(F.filter(words, lambda w: w.isin(*names.split("|"))))
-    return F.struct(n.alias("n"), F.lit(-place).alias("place"), F.lit(name).alias("topic"))
+        def best(found: Column) -> Column:
+            counts = [F.struct(F.size(F.filter(found, lambda w: w.isin(*names.split("|")))).alias("n"), F.lit(-place).alias("place"),
+                               F.lit(name).alias("topic")) for place, (name, names) in enumerate(TOPICS.items())]
+            return F.when(F.size(found) == 0, GENERAL).otherwise(F.array_max(F.array(*counts))["topic"])
+
+        return F.struct(F.greatest(F.size(words), F.lit(1)).cast("long").alias("tokens"),
+                        F.element_at(F.transform(F.array(hits), best), 1).alias("topic"))
+
+    # One-element arrays carry the words and the hits, so a text is cut into words once.
+    return F.element_at(F.transform(F.array(F.split(F.lower(F.trim(text)), MARKS)), counted), 1)
 
 
 def described(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns and _topic, _tokens (words, at least 1), _chance (in [0, 1), from the id and text)."""
+    """All columns and _topic, _tokens, _chance (in [0, 1), from the id and text)."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    words = F.greatest(F.size(F.split(F.trim(whole), r"\s+")), F.lit(1)).cast("long")
     hashed = F.shiftrightunsigned(F.xxhash64(F.col(row_id), whole, F.lit("mixing")), 11)
-    return docs.withColumns({"_topic": topic(whole), "_tokens": words, "_chance": hashed.cast("double") / F.lit(float(1 << 53))})
+    rows = docs.withColumns({"_content": content(whole), "_chance": hashed.cast("double") / F.lit(float(1 << 53))})
+    return rows.withColumns({"_topic": F.col("_content.topic"), "_tokens": F.col("_content.tokens")}).drop("_content")
 
 
 def shares(cells: DataFrame, dimension: str, power: float) -> DataFrame:
