@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +17,11 @@ def six_places(distance: Column) -> Column:
     return F.when(F.abs(distance) < 5e-7, F.lit(0.0)).otherwise(F.round(distance, 6))
 
 
+def six_place_steps(distances: np.ndarray) -> np.ndarray:
+    """The same rounding, half up, in workers: distances as whole numbers of the sixth place."""
+    return np.floor(distances * 1e6 + 0.5)
+
+
 def average_hours(hours: Column) -> Column:
     """Mean of the known hours to one place; null when every ticket is open."""
     return round_exact(F.avg(hours), 1)

@@ -47,7 +47,7 @@ def declared_edges(tickets: DataFrame) -> DataFrame:
     nodes, few = held(named.select("label", "name", F.col("domain").alias("node_domain"), part.alias("part")).distinct(),
                       MAX_BROADCAST_ROWS)
     edges = named.join(F.broadcast(nodes) if few else nodes, ["label", "name"])
-    return edges.select(F.col("ticket_id").alias("src"), F.concat_ws("/", "node_domain", "name").alias("dst"), "label")
+    return edges.select(F.col("ticket_id").alias("src"), F.concat_ws("/", "node_domain", "name", "part").alias("dst"), "label")
 
 
 def estate(tickets: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundwork.functions.numbers import round_exact, six_places
+from groundwork.functions.numbers import round_exact, six_place_steps, six_places
 from groundwork.functions.vectors import cosine_distance
 from groundwork.operators.blocks import join_blocks
 from groundwork.schema import TICKET_COLUMNS, TOP_K
@@ -55,17 +55,17 @@ class Best:
     def add(self, question: int, ids: np.ndarray, distances: np.ndarray) -> None:
         ids = np.concatenate([self.ids[question], ids])
         distances = np.concatenate([self.distances[question], distances])
-        order = np.lexsort((ids.astype(str), np.rint(distances * 1e6)))[: self.k]
+        order = np.lexsort((ids.astype(str), six_place_steps(distances)))[: self.k]
         self.ids[question], self.distances[question] = ids[order], distances[order]
         if len(order) == self.k:
-            self.worst[question] = np.rint(distances[order[-1]] * 1e6)
+            self.worst[question] = six_place_steps(distances[order[-1]])
 
     def offer(self, ids: np.ndarray, distances: np.ndarray, which: np.ndarray) -> None:
         """Distances of the questions numbered `which` (rows) to the tickets `ids` (columns, in order).
 
         NaN means that the ticket is no candidate.
         """
-        steps = np.rint(distances * 1e6)
+        steps = six_place_steps(distances)
         for row in np.nonzero((steps <= self.worst[which, None]).any(axis=1))[0]:
             valid = np.nonzero(steps[row] <= self.worst[which[row]])[0]
             if len(valid) > self.k:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundwork.functions.numbers import six_places
+from groundwork.functions.numbers import six_place_steps, six_places
 from groundwork.operators.blocks import BLOCK_ROWS, cell_counts, join_blocks
 from groundwork.operators.nearest import matrix, unit
 from groundwork.schema import SIMILAR_MAX_DISTANCE, SIMILAR_PER_TICKET
@@ -102,7 +102,7 @@ def _near_in_block(max_distance: float, per_ticket: int):
         for start in range(0, len(names), _CHUNK):
             part = slice(start, start + _CHUNK)
             distances = 1.0 - sources[part] @ targets.T
-            steps = np.rint(distances * 1e6)
+            steps = six_place_steps(distances)
             steps[(code[part, None] == other[None, :]) | ~(steps / 1e6 < max_distance)] = np.inf
             for _ in range(min(per_ticket, len(ids))):
                 best = steps.argmin(axis=1)  # the first of equals, and ids are in order

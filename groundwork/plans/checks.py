@@ -282,15 +282,17 @@ def _scoped_pairs() -> dict[str, str]:
 def _web() -> dict[str, str]:
     none = "CAST([] AS varchar[])"
 
-    def kind(name: str, must: str, some: str, phrase: str) -> str:
-        return (f"SELECT question_id || '/{name}' AS question_id, {must} AS must, {some} AS anyof, {phrase} AS phrase, w[9:9] AS no FROM split")
+    first, last = "w[1:len(w) - 1]", "w[len(w):len(w)]"
+
+    def kind(name: str, must: str, some: str, phrase: str, no: str) -> str:
+        return (f"SELECT question_id || '/{name}' AS question_id, {must} AS must, {some} AS anyof, {phrase} AS phrase, {no} AS no FROM split")
 
     overlap = "len(list_intersect({}, words)) > 0"
     return NORMAL | {
         "questions": _questions("hybrid"),
         "split": f"SELECT question_id, {_words('question')} AS w FROM questions",
-        "kinds": kind("must", "w[1:2]", "w[3:6]", none) + " UNION ALL " + kind("phrase", none, none, "w[7:8]")
-                 + " UNION ALL " + kind("any", none, "w[3:6]", none),
+        "kinds": kind("must", first, first, none, last) + " UNION ALL " + kind("phrase", none, none, "w", none)
+                 + " UNION ALL " + kind("any", last, first, none, none),
         "web": f"SELECT question_id, {_terms('must')} AS must, {_terms('anyof')} AS anyof, {_normal('phrase')} AS phrase, {_terms('no')} AS no FROM kinds",
         "web_pairs": "SELECT question_id, ticket_id FROM web, docs WHERE (len(must) > 0 OR len(anyof) > 0 OR len(list_filter(phrase, lambda x: x <> '')) > 0) "
                      "AND list_has_all(words, must) "
@@ -398,7 +400,7 @@ def oracle_sql() -> dict[str, str]:
         "g2_ticket_nodes": _sql(TICKETS, "SELECT ticket_id AS id, asset, team, error_code AS code, severity, status, resolved_hours AS hours FROM tickets"),
         "g3_declared_edges": _sql(NODES, "SELECT ticket_id AS src, a.domain || '/' || name AS dst, 'ON' AS label FROM tickets t JOIN asset_n a ON t.asset = a.name "
                                          "UNION ALL SELECT ticket_id, a.domain || '/' || name, 'BY' FROM tickets t JOIN team_n a ON t.team = a.name "
-                                         "UNION ALL SELECT ticket_id, c.domain || '/' || code, 'CODED' FROM tickets t JOIN code_n c ON t.error_code = c.code"),
+                                         "UNION ALL SELECT ticket_id, c.domain || '/' || code || '/' || c.component, 'CODED' FROM tickets t JOIN code_n c ON t.error_code = c.code"),
         "g4_similar_to": _sql(SIMILAR, "SELECT src, dst, distance, 'SIMILAR_TO' AS label FROM similar_to"),
         "g4_similar_stored_vectors": _sql(STORED | similar("stored", STORED_THRESHOLD), "SELECT src, dst, distance, 'SIMILAR_TO' AS label FROM similar_to"),
         "g5_walk_by_code": _sql(BY_CODE, "SELECT code, asset, domain, tickets, avg_hours FROM by_code"),

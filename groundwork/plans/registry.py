@@ -82,18 +82,20 @@ def scoped(questions: DataFrame) -> DataFrame:
 
 
 def web_queries(questions: DataFrame) -> DataFrame:
-    """Three structured queries from the words of each question."""
+    """Three structured queries from all words of each question: all but the last and not the last; the
+    whole question as a phrase; the last and any of the others."""
     words = questions.select("question_id", text.tokens("question").alias("w"))
-    none, nothing = F.lit(None).cast("array<string>"), F.lit(None).cast("string")
-    must, some, no = F.slice("w", 1, 2), F.slice("w", 3, 4), F.slice("w", 9, 1)
+    none, nothing = F.array().cast("array<string>"), F.lit(None).cast("string")
+    first = F.filter("w", lambda _, i: i < F.size("w") - 1)
+    last = F.filter("w", lambda _, i: i == F.size("w") - 1)
 
-    def kind(name, must, any_of, phrase):
+    def kind(name, must, any_of, phrase, must_not):
         return words.select(F.concat_ws("/", "question_id", F.lit(name)).alias("question_id"), must.alias("must"),
-                            any_of.alias("any_of"), phrase.alias("phrase"), no.alias("must_not"))
+                            any_of.alias("any_of"), phrase.alias("phrase"), must_not.alias("must_not"))
 
-    return (kind("must", must, some, nothing)
-            .unionByName(kind("phrase", none, none, F.array_join(F.slice("w", 7, 2), " ")))
-            .unionByName(kind("any", none, some, nothing)))
+    return (kind("must", first, first, nothing, last)
+            .unionByName(kind("phrase", none, none, F.array_join("w", " "), none))
+            .unionByName(kind("any", last, first, nothing, none)))
 
 
 def _values(rows: DataFrame, vector: str, *keys: str) -> DataFrame:

@@ -216,3 +216,9 @@ def test_bucketed_postings_need_no_shuffle(spark):
         assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, keyword.term_frequencies(postings).collect()))
     finally:
         spark.sql("DROP TABLE postings_by_ticket")
+
+
+def test_workers_round_halves_up_as_the_ranking_does():
+    best = nearest.Best(1, 1)
+    best.offer(np.array(["a", "b"], object), np.array([[0.1234565, 0.1234560]]), np.array([0]))
+    assert list(best.ids[0]) == ["b"]
