@@ -6,6 +6,7 @@ nearest to it and ranks what is in them exactly. With all cells searched the res
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,28 +16,52 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from groundwork.functions.numbers import six_place_steps
 from groundwork.functions.vectors import shorten
 from groundwork.operators.nearest import matrix, nearest, unit
 from groundwork.schema import TOP_K
 
-MAX_CELLS = 4096
+# 65,536 centres of 64 doubles are 34 MB, of 512 doubles 268 MB: what each task holds.
+MAX_CENTRE_BYTES = 1 << 28
+LEAST_CELLS = 16
+CELL_PARTS = 16
+
+
+def cells_for(rows: int) -> int:
+    """Cells grow with the corpus: about as many as a cell has rows."""
+    return max(LEAST_CELLS, math.isqrt(rows))
+
+
+def pick_cells(corpus: DataFrame, cells: int) -> np.ndarray:
+    """Centres without a fit: the vectors of the `cells` tickets whose ids have the smallest hashes.
+
+    A random draw that any engine can repeat. Tickets without direction are no centres.
+    """
+    rows = corpus.filter(F.exists("embedding", lambda x: x != 0)).select("ticket_id", "embedding")
+    first = rows.orderBy(F.md5("ticket_id"), "ticket_id").limit(cells)
+    return _held(unit(matrix(first.select("embedding").toArrow().column("embedding"))))
+
+
+def _held(centres: np.ndarray) -> np.ndarray:
+    if centres.nbytes > MAX_CENTRE_BYTES:
+        raise ValueError(f"centres take {centres.nbytes} bytes, and each task holds them all: ask for fewer cells")
+    return centres
 
 
 def fit_cells(corpus: DataFrame, cells: int, train: DataFrame | None = None, seed: int = 7,
               iterations: int = 10) -> np.ndarray:
     """Centres of `cells` groups of vectors. They may be fitted on a part of a large corpus (`train`):
     centres only decide where a vector is stored, never whether it is."""
-    if cells > MAX_CELLS:
-        raise ValueError(f"at most {MAX_CELLS} cells, each task holds all centres")
     rows = (corpus if train is None else train).filter(F.exists("embedding", lambda x: x != 0))
     vectors = rows.select(array_to_vector("embedding").alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=iterations, distanceMeasure="cosine").fit(vectors)
-    return unit(np.array(model.clusterCenters()))
+    return _held(unit(np.array(model.clusterCenters())))
 
 
 def _nearest_centres(vectors: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
-    closeness = np.nan_to_num(unit(vectors) @ centres.T, nan=-2.0)
-    return np.argsort(-closeness, axis=1, kind="stable")[:, :n].astype(np.int32)
+    """By distance to six places, ties to the smaller number; a vector without direction is in the first."""
+    steps = np.nan_to_num(six_place_steps(1.0 - unit(vectors) @ centres.T), nan=np.inf)
+    return np.argsort(steps, axis=1, kind="stable")[:, :n].astype(np.int32)
 
 
 def in_cells(corpus: DataFrame, centres: np.ndarray) -> DataFrame:
@@ -51,7 +76,9 @@ def in_cells(corpus: DataFrame, centres: np.ndarray) -> DataFrame:
 
 
 def store_cells(corpus: DataFrame, path: str) -> None:
-    corpus.write.mode("overwrite").partitionBy("cell").parquet(path)
+    """One folder for each cell. A cell's rows go to a few tasks, so files are few and no cell is one task's."""
+    part = F.pmod(F.xxhash64("ticket_id"), F.lit(CELL_PARTS))
+    corpus.repartition("cell", part).write.mode("overwrite").partitionBy("cell").parquet(path)
 
 
 def with_probes(questions: DataFrame, centres: np.ndarray, nprobe: int) -> DataFrame:
@@ -70,7 +97,7 @@ def with_probes(questions: DataFrame, centres: np.ndarray, nprobe: int) -> DataF
 def approximate_nearest(corpus: DataFrame, questions: DataFrame, k: int = TOP_K) -> DataFrame:
     """(question_id, rank, distance, ticket_id) from the probed cells only.
 
-    Probed cells, at most MAX_CELLS numbers, are a filter on the partition column, so a stored corpus
+    Probed cells, at most as many numbers as there are centres, are a filter on the partition column, so a stored corpus
     reads no other files.
     """
     probed = questions.select(F.explode("cells").alias("cell")).distinct().toArrow().column("cell").to_pylist()

@@ -122,14 +122,19 @@ def kind() -> Column:
     return (F.when(F.col("by_meaning_only"), "meaning").when(F.col("in_search"), "found").otherwise("new"))
 
 
+def seeds_of(tickets: DataFrame, corpus: DataFrame, questions: DataFrame, seeds: int = GRAPH_SEEDS) -> DataFrame:
+    """(question_id, rank, ticket_id, asset, error_code): the tickets that `expand` walks from."""
+    hits = nearest(corpus, questions, seeds)
+    return with_ticket(hits, tickets, questions, seeds).select("question_id", "rank", "ticket_id", "asset", "error_code")
+
+
 def expand(tickets: DataFrame, corpus: DataFrame, questions: DataFrame, similar: DataFrame,
            seeds: int = GRAPH_SEEDS) -> DataFrame:
     """From each question over its nearest tickets to every asset with the same fault.
 
     The fault is the code of the first seed. An asset is reached by code, by meaning, or both.
     """
-    found = with_ticket(nearest(corpus, questions, seeds), tickets, questions, seeds).select(
-        "question_id", "rank", "asset", "error_code")
+    found = seeds_of(tickets, corpus, questions, seeds)
     codes = found.filter(F.col("rank") == 1).select("question_id", F.col("error_code").alias("code"))
     seen = found.select("question_id", "asset").distinct().withColumn("seen", F.lit(True))
 

@@ -19,14 +19,17 @@ from pyspark.sql import functions as F
 
 from groundwork.functions.text import is_stop_word, normal_terms, normal_words, padded, phrase_text, stem, tokens
 from groundwork.operators.nearest import HITS, Best, with_ticket
+from groundwork.operators.ranking import first_of_each
 from groundwork.schema import FUSION_DEPTH, TICKET_COLUMNS, TOP_K
-from groundwork.sizing import held
+from groundwork.sizing import fits, held
 
 # The most queries of a batch that are looked up in each text where it lies.
 MAX_QUERIES = 4096
 # The most (query, term) weights that every task holds, and the most numbers in one of its arrays.
 MAX_WEIGHTS = 20_000
 MAX_CELLS_HELD = 4_000_000
+# The most numbers in the matrix of term and query weights (64 MB), which is dense.
+MAX_MATRIX = 8_000_000
 PAIR_BATCH = 100_000
 
 
@@ -56,6 +59,17 @@ def term_frequencies(postings: DataFrame) -> DataFrame:
     return postings.groupBy("ticket_id", "term", "doc_len").agg(F.count("*").alias("tf"))
 
 
+def terms_of_each(tickets: DataFrame) -> DataFrame:
+    """(ticket_id, doc_len, term, tf), counted inside the row that holds the words: they are sorted, and a
+    term's count is the distance from its first place to that of the next term."""
+    words = raw_words(tickets).select("ticket_id", F.size("words").alias("doc_len"), F.sort_array("words").alias("words"))
+    places = F.when(F.col("doc_len") > 0, F.sequence(F.lit(0), F.col("doc_len") - 1)).otherwise(F.array().cast("array<int>"))
+    firsts = words.withColumn("firsts", F.filter(places, lambda i: (i == 0) | (F.get("words", i) != F.get("words", i - 1))))
+    counts = F.transform("firsts", lambda at, i: F.struct(
+        F.get("words", at).alias("term"), (F.coalesce(F.get("firsts", i + 1), F.col("doc_len")) - at).cast("bigint").alias("tf")))
+    return firsts.select("ticket_id", "doc_len", F.inline(counts))
+
+
 def store_postings(postings: DataFrame, name: str, buckets: int) -> None:
     """A table bucketed by ticket, so grouping by (ticket, anything) needs no shuffle."""
     postings.write.mode("overwrite").bucketBy(buckets, "ticket_id").sortBy("ticket_id", "term").saveAsTable(name)
@@ -78,6 +92,7 @@ def _anchored(documents: DataFrame, queries: DataFrame, needed: str) -> DataFram
     """
     queries, few = held(queries, MAX_QUERIES)
     wanted = queries.select("question_id", F.explode(F.array_distinct(needed)).alias("anchor"))
+    few = few and fits(wanted)  # queries may be few and long
     terms = documents.select("ticket_id", F.explode(F.array_distinct("words")).alias("anchor"))
     frequency = (terms.join(_sided(few)(wanted.select("anchor").distinct()), "anchor")
                  .groupBy("anchor").agg(F.count("*").alias("df")))
@@ -108,9 +123,7 @@ def phrase_matches(tickets: DataFrame, queries: DataFrame, text: str = "question
 def keyword_hits(tickets: DataFrame, queries: DataFrame, k: int = TOP_K, text: str = "question",
                  normalise: bool = False) -> DataFrame:
     """The first k matches of each query by ticket id: (question_id, ticket_id, rank)."""
-    by_id = Window.partitionBy("question_id").orderBy("ticket_id")
-    matches = phrase_matches(tickets, queries, text, normalise)
-    return matches.withColumn("rank", F.row_number().over(by_id)).filter(F.col("rank") <= k)
+    return first_of_each(phrase_matches(tickets, queries, text, normalise), "question_id", ["ticket_id"], k)
 
 
 def keyword_search(tickets: DataFrame, terms: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -174,6 +187,7 @@ def web_matches(tickets: DataFrame, queries: DataFrame) -> DataFrame:
     broad = asked.filter((F.size("needed") == 0) & (F.size("q_any") > 0))
     roles = (broad.select("question_id", F.explode("q_any").alias("term"), F.lit(False).alias("banned"))
              .unionByName(broad.select("question_id", F.explode("q_not").alias("term"), F.lit(True).alias("banned"))))
+    few = few and fits(roles)
     terms = documents.select("ticket_id", F.explode(F.array_distinct("words")).alias("term"))
     pairs = terms.join(_sided(few)(roles), "term").groupBy("question_id", "ticket_id").agg(
         F.bool_or("banned").alias("banned"))
@@ -219,6 +233,8 @@ def _scored_in_place(tickets: DataFrame, wanted: DataFrame, depth: int | None, k
         return tickets.sparkSession.createDataFrame([], "question_id string, ticket_id string, score double")
 
     names, terms = pc.unique(weights.column("question_id")), pc.unique(weights.column("term"))
+    if len(terms) * len(names) > MAX_MATRIX:
+        return _scored_by_join(tickets, wanted, k1, b)
     matrix = np.zeros((len(terms), len(names)))
     matrix[pc.index_in(weights.column("term"), value_set=terms).to_numpy(),
            pc.index_in(weights.column("question_id"), value_set=names).to_numpy()] = weights.column("idf").to_numpy()
@@ -313,5 +329,4 @@ def cover_density(tickets: DataFrame, queries: DataFrame, text: str = "question"
 
 def best_first(scores: DataFrame, depth: int = FUSION_DEPTH) -> DataFrame:
     """Rank by score, best first, down to `depth`."""
-    by_score = Window.partitionBy("question_id").orderBy(F.col("score").desc(), "ticket_id")
-    return scores.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= depth)
+    return first_of_each(scores, "question_id", [F.col("score").desc(), "ticket_id"], depth)

@@ -12,12 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwork.functions.numbers import round_exact, six_place_steps, six_places
 from groundwork.functions.vectors import cosine_distance
 from groundwork.operators.blocks import join_blocks
+from groundwork.operators.ranking import first_of_each
 from groundwork.schema import TICKET_COLUMNS, TOP_K
 from groundwork.sizing import MAX_BROADCAST_ROWS, fits
 
@@ -85,13 +87,17 @@ class Best:
         )
 
 
+def _true(flags: pa.Array) -> np.ndarray:
+    return pc.fill_null(flags, False).to_numpy(zero_copy_only=False)
+
+
 def _rows_in_scope(batch: pa.RecordBatch, scope: dict) -> np.ndarray:
     keep = np.ones(batch.num_rows, bool)
     for name in ("severity", "domain"):
         if scope.get(name) is not None:
-            keep &= np.array(batch.column(name).to_pylist(), dtype=object) == scope[name]
+            keep &= _true(pc.equal(batch.column(name), scope[name]))
     if scope.get("resolved_only"):
-        keep &= np.array([bool(x) for x in batch.column("resolution").to_pylist()], dtype=bool)
+        keep &= _true(pc.not_equal(batch.column("resolution"), ""))
     if scope.get("cells") is not None:
         keep &= np.isin(batch.column("cell").to_numpy(zero_copy_only=False), scope["cells"])
     return np.nonzero(keep)[0]
@@ -126,6 +132,20 @@ def _corpus_columns(scope: list[str]) -> list[str]:
     return ["ticket_id", "embedding", *[named[c] for c in scope]]
 
 
+def within_reach(corpus: DataFrame, scopes: list[dict]) -> DataFrame:
+    """The tickets that some scope allows, as a filter that reaches the scan; all, if one scope allows all.
+
+    Only the fields are named that every scope restricts, so the filter is as short as the fields have values.
+    """
+    for name in ("severity", "domain"):
+        wanted = {scope.get(name) for scope in scopes}
+        if wanted and None not in wanted:
+            corpus = corpus.filter(F.col(name).isin(sorted(wanted)))
+    if scopes and all(scope.get("resolved_only") for scope in scopes):
+        corpus = corpus.filter(F.col("resolution") != "")
+    return corpus
+
+
 def candidates(corpus: DataFrame, questions: DataFrame, k: int, max_questions: int = MAX_QUESTIONS) -> DataFrame:
     """At least the k nearest in-scope tickets of each question: (question_id, ticket_id, distance)."""
     scope = _scope_columns(questions)
@@ -140,6 +160,7 @@ def candidates(corpus: DataFrame, questions: DataFrame, k: int, max_questions: i
     scopes = _group_scopes(sample.select(scope).to_pylist() if scope else [{}] * len(names))
     shared = corpus.sparkSession.sparkContext.broadcast(unit(matrix(sample.column("q_vector"))))
 
+    corpus = within_reach(corpus, [values for values, _ in scopes])
     return corpus.mapInArrow(lambda batches: _scan(names, shared.value, scopes, k, batches), HITS)
 
 
@@ -173,12 +194,9 @@ def nearest(corpus: DataFrame, questions: DataFrame, k: int = TOP_K, max_questio
     `corpus` has ticket_id and embedding; `questions` has question_id and q_vector, and optionally
     severity, domain, resolved_only (or cells): filters that are met before ranking, never after.
     """
-    by_question = Window.partitionBy("question_id").orderBy("step", "ticket_id")
+    found = candidates(corpus, questions, k, max_questions).withColumn("step", six_places(F.col("distance")))
     return (
-        candidates(corpus, questions, k, max_questions)
-        .withColumn("step", six_places(F.col("distance")))
-        .withColumn("rank", F.row_number().over(by_question))
-        .filter(F.col("rank") <= k)
+        first_of_each(found, "question_id", ["step", "ticket_id"], k)
         .select("question_id", "rank", "ticket_id", F.col("step").alias("distance"),
                 F.col("distance").alias("raw_distance"))
     )
@@ -197,14 +215,18 @@ def search(tickets: DataFrame, corpus: DataFrame, questions: DataFrame, k: int =
 
 
 def plain_english_search(tickets: DataFrame, corpus: DataFrame, questions: DataFrame, k: int = TOP_K) -> DataFrame:
-    """Text in, rows out: ranked on the full distance, which is shown to four places."""
+    """Text in, rows out: ranked on the distance to six places, shown to four."""
     hits = nearest(corpus, questions, k).withColumn("distance", round_exact(F.col("raw_distance"), 4))
     return (with_ticket(hits.drop("raw_distance"), tickets, questions, k)
             .select("question_id", "rank", "distance", *TICKET_COLUMNS))
 
 
 def vector_search(tickets: DataFrame, corpus: DataFrame, vector: Column, k: int = TOP_K) -> DataFrame:
-    """One question against the corpus, all in JVM expressions: a top-k of the scan."""
+    """One question against the corpus, all in JVM expressions: a top-k of the scan, whose k rows meet the tickets.
+
+    (rank, distance, ticket columns)."""
     measured = corpus.select("ticket_id", six_places(cosine_distance(F.col("embedding"), vector)).alias("distance"))
     first = measured.orderBy(F.col("distance").asc_nulls_last(), "ticket_id").limit(k)
-    return first.filter(F.col("distance").isNotNull())
+    near = first.filter(F.col("distance").isNotNull())
+    ranked = near.withColumn("rank", F.row_number().over(Window.orderBy("distance", "ticket_id")))  # k rows
+    return tickets.select(*TICKET_COLUMNS).join(F.broadcast(ranked), "ticket_id").select("rank", "distance", *TICKET_COLUMNS)

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from groundwork.functions.text import STOP_WORDS
 from groundwork.operators.grounding import NO_RECORD, NO_TICKETS, STILL_OPEN, SYSTEM_SHORT
-from groundwork.plans.registry import LONE_QUESTION, NARROW, STORED_THRESHOLD
+from groundwork.operators.cells import LEAST_CELLS
+from groundwork.plans.registry import LONE_QUESTION, N_PROBES, NARROW, STORED_THRESHOLD
 from groundwork.schema import (
     AGGREGATE_POOL, ANSWER_POOL, CITATION_PATTERN, FUSION_CONSTANT, FUSION_DEPTH, GRAPH_SEEDS, SEVERITY_ORDER,
-    SIMILAR_MAX_DISTANCE, SIMILAR_PER_TICKET, TICKET_COLUMNS, TOP_K, URGENT,
+    SIMILAR_MAX_DISTANCE, SIMILAR_PER_TICKET, TICKET_COLUMNS, TICKET_SCHEMA, TOP_K, URGENT,
 )
 from groundwork.sources import given
 from groundwork.sources.given import DIMS
@@ -279,6 +280,26 @@ def _scoped_pairs() -> dict[str, str]:
     }
 
 
+def _celled(probes: str) -> dict[str, str]:
+    """Tickets in the cell of their nearest centre; pairs of a question and the tickets of its `probes` cells."""
+    def by_cell(rows: str, key: str, vector: str) -> str:
+        raw = f"list_cosine_distance(x.{vector}::DOUBLE[], c.centre::DOUBLE[])"
+        return (f"SELECT {key}, cell, row_number() OVER (PARTITION BY {key} ORDER BY CASE WHEN raw IS NULL OR isnan(raw) THEN 9 ELSE {_six('raw')} END, cell) AS place "
+                f"FROM (SELECT x.{key}, c.cell, {raw} AS raw FROM {rows} x, centres c)")
+
+    return near("vector") | {
+        "how_many": f"SELECT greatest({LEAST_CELLS}, floor(sqrt(count(*)))) AS n FROM corpus",
+        "drawn": "SELECT embedding AS centre, row_number() OVER (ORDER BY md5(ticket_id), ticket_id) - 1 AS cell FROM corpus "
+                 "WHERE len(list_filter(embedding, lambda x: x <> 0)) > 0",
+        "centres": "SELECT drawn.* FROM drawn, how_many WHERE cell < n",
+        "placed": f"SELECT ticket_id, cell FROM ({by_cell('corpus', 'ticket_id', 'embedding')}) WHERE place = 1",
+        "probed": f"SELECT question_id, cell FROM ({by_cell('asked', 'question_id', 'q_vector')}) WHERE place <= {probes}",
+        "reached": "SELECT p.question_id, p.ticket_id, p.distance FROM pairs p JOIN placed USING (ticket_id) JOIN probed b ON b.question_id = p.question_id AND b.cell = placed.cell",
+        "approximate": _ranked("reached", "distance, ticket_id"),
+        "scanned": "SELECT question_id, count(*) AS candidates FROM probed JOIN placed USING (cell) GROUP BY 1",
+    }
+
+
 def _web() -> dict[str, str]:
     none = "CAST([] AS varchar[])"
 
@@ -324,6 +345,11 @@ def oracle_sql() -> dict[str, str]:
     narrow = TEXTS | _embedded("corpus", "texts", "ticket_id", "embedding_text", "embedding", NARROW)
 
     return {
+        "s1_read_tickets": _sql(TICKETS, f"SELECT {COLUMNS} FROM tickets"),
+        "s2_write_tickets": _sql(TICKETS, "SELECT ticket_id, title, description, resolution, coalesce(resolved_hours, -1.0::DOUBLE) AS hours FROM tickets"),
+        "s13_create_and_recreate": _sql(TICKETS, "SELECT 0::INT AS step, domain, count(*) AS n FROM tickets GROUP BY domain UNION ALL SELECT 1::INT, domain, count(*) FROM tickets GROUP BY domain "
+                                                 "UNION ALL SELECT 2::INT, domain, count(*) FROM tickets WHERE domain <> 'D0' GROUP BY domain"),
+        "s14_one_domain": _sql(TICKETS, f"SELECT {COLUMNS} FROM tickets WHERE domain = 'D1'"),
         "s3_to_ticket": _sql(TEXTS, f"SELECT {COLUMNS}, search_text FROM texts"),
         "s4_embedding_text": _sql(TEXTS, "SELECT ticket_id, embedding_text FROM texts"),
         "s5_search_text": _sql(TEXTS, "SELECT ticket_id, search_text FROM texts"),
@@ -331,7 +357,8 @@ def oracle_sql() -> dict[str, str]:
         "s7_hashed_embedding": _sql(CORPUS, f"SELECT ticket_id, i::INT AS dim, round(embedding[i + 1]::DOUBLE, 6) AS value FROM corpus, range({DIMS}) r(i)"),
         "s8_embed_questions": _sql(asked("vector"), f"SELECT question_id, {DIMS}::INT AS dims, i::INT AS dim, round(q_vector[i + 1]::DOUBLE, 6) AS value FROM asked, range(12) r(i)"),
         "s9_truncate": _sql(STORED, f"SELECT ticket_id, i::INT AS dim, round(embedding[i + 1]::DOUBLE, 6) AS value FROM stored, range({NARROW}) r(i)"),
-        "s10_vector_text": _sql(STORED, f"SELECT ticket_id, {_TEXT7.format('embedding')} AS vector_text, len(embedding)::INT AS values_read_back FROM stored"),
+        "s10_vector_text": _sql(STORED, f"SELECT ticket_id, {_TEXT7.format('embedding')} AS vector_text, len(embedding)::INT AS values_read_back, "
+                                        "round(list_sum(list_transform(embedding, lambda x, i: printf('%.7f', x::DOUBLE)::FLOAT::DOUBLE * i)), 5) AS weighted_sum FROM stored"),
         "s11_upsert_replace": _sql(MERGE, f"SELECT vec_id, label, {_TEXT7.format('embedding')} AS vector_text FROM "
                                           "(SELECT * FROM target WHERE vec_id NOT IN (SELECT vec_id FROM batch) UNION ALL SELECT * FROM batch)"),
         "s12_upsert_embedding": _sql(MERGE, f"SELECT vec_id, label, {_TEXT7.format('embedding')} AS vector_text FROM "
@@ -356,7 +383,8 @@ def oracle_sql() -> dict[str, str]:
                                "SELECT term, count(ticket_id) AS total_matches FROM terms LEFT JOIN phrase_pairs ON term = question_id GROUP BY 1"),
         "k4_match_all": _sql(lexical("hybrid"), "SELECT question_id, ticket_id FROM every"),
         "k5_web_matches": _sql(_web(), "SELECT question_id, ticket_id FROM web_pairs"),
-        "k6_bm25": _sql(bm25("hybrid"), "SELECT question_id, ticket_id, score FROM bm"),
+        "k6_bm25": _sql(bm25("hybrid") | {"lex": _ranked("bm", "score DESC, ticket_id")},
+                        f"SELECT question_id, ticket_id, score, rank FROM lex WHERE rank <= {FUSION_DEPTH}"),
         "k7_cover_density": _sql(cover("hybrid"), "SELECT question_id, ticket_id, score FROM density"),
         "k8_vocabulary": _sql(TEXTS | {"v": f"SELECT DISTINCT unnest({_words('search_text')}) AS term FROM texts"},
                               f"SELECT term, {_stem('term')} AS stem, term IN {_in(STOP_WORDS)} AS is_stop FROM v"),
@@ -364,11 +392,16 @@ def oracle_sql() -> dict[str, str]:
                                              "d": "SELECT s.ticket_id, list_cosine_distance(s.embedding::DOUBLE[], f.first::DOUBLE[]) AS raw FROM stored s JOIN firsts f USING (error_code)"},
                                    f"SELECT ticket_id, {_six('raw')} AS distance FROM d"),
         "v2_vector_search": _sql(CORPUS | {"one": f"SELECT 'q' AS question_id, {_quoted(LONE_QUESTION)} AS question"} | lone
-                                 | {"asked": "SELECT * FROM lone", "pairs": _pairs()},
-                                 f"SELECT ticket_id, distance FROM pairs ORDER BY distance, ticket_id LIMIT {TOP_K}"),
+                                 | {"asked": "SELECT * FROM lone", "pairs": _pairs(), "near": _ranked("pairs", "distance, ticket_id")},
+                                 f"SELECT 'vector-1' AS question_id, rank, distance, {T_COLUMNS} FROM near JOIN tickets t USING (ticket_id) WHERE {top}"),
         "v3_filtered_search": _sql(_scoped_pairs(), f"SELECT question_id, rank, distance, {T_COLUMNS} FROM near JOIN tickets t USING (ticket_id) WHERE {top}"),
         "v4_plain_english": _sql(near("plain"), f"SELECT question_id, rank, {_exact('raw', 4)} AS distance, {T_COLUMNS} FROM near JOIN tickets t USING (ticket_id) WHERE {top}"),
         "v5_batch_topk": _sql(near("vector"), f"SELECT question_id, rank, distance, {T_COLUMNS} FROM near JOIN tickets t USING (ticket_id) WHERE {top}"),
+        "v6_approximate": _sql(_celled(str(N_PROBES)), f"SELECT question_id, rank, distance, ticket_id FROM approximate WHERE {top}"),
+        "v6_every_cell": _sql(near("vector"), f"SELECT question_id, rank, distance, ticket_id FROM near WHERE {top}"),
+        "v7_access_report": _sql(_celled(str(N_PROBES)), f"SELECT n.question_id, {TOP_K}::INT AS k, count(a.ticket_id) AS overlap, round(count(a.ticket_id)::DOUBLE / count(*), 6) AS recall, "
+                                                         f"any_value(s.candidates) AS candidates FROM near n LEFT JOIN (SELECT * FROM approximate WHERE {top}) a USING (question_id, ticket_id) "
+                                                         f"JOIN scanned s ON s.question_id = n.question_id WHERE n.rank <= {TOP_K} GROUP BY 1"),
         "v8_width_report": _sql(width, f"SELECT n.question_id, {TOP_K}::INT AS k, count(s.ticket_id) AS overlap, round(count(s.ticket_id)::DOUBLE / count(*), 6) AS recall "
                                        f"FROM near n LEFT JOIN (SELECT * FROM short_near WHERE {top}) s USING (question_id, ticket_id) WHERE n.rank <= {TOP_K} GROUP BY 1"),
         "h1_hybrid_search": _sql(H1, f"SELECT question_id, rank, {T_COLUMNS} FROM top JOIN tickets t USING (ticket_id) WHERE {top}"),
@@ -405,6 +438,7 @@ def oracle_sql() -> dict[str, str]:
         "g4_similar_stored_vectors": _sql(STORED | similar("stored", STORED_THRESHOLD), "SELECT src, dst, distance, 'SIMILAR_TO' AS label FROM similar_to"),
         "g5_walk_by_code": _sql(BY_CODE, "SELECT code, asset, domain, tickets, avg_hours FROM by_code"),
         "g6_walk_by_meaning": _sql(BY_MEANING, "SELECT code, asset, domain, tickets, avg_hours FROM by_meaning"),
+        "g7_seeds": _sql(near("graph"), f"SELECT n.question_id, n.rank, t.ticket_id, t.asset, t.error_code FROM near n JOIN tickets t USING (ticket_id) WHERE n.rank <= {GRAPH_SEEDS}"),
         "g7_expand": _sql(EXPANDED, "SELECT question_id, code, asset, domain, tickets, related, avg_hours, in_search, by_code, by_meaning_only, kind FROM expanded"),
         "g8_new_assets": _sql(EXPANDED, "SELECT question_id, asset, domain, kind FROM expanded WHERE NOT in_search"),
         "r1_long_context": _sql(COMPARED, "SELECT question_id, side, n_tickets, context FROM contexts"),
@@ -427,6 +461,9 @@ def oracle_sql() -> dict[str, str]:
                                          "count(DISTINCT domain) FILTER (WHERE by_meaning_only) AS domains, count(*) FILTER (WHERE by_meaning_only) >= 1 AS passed FROM expanded GROUP BY 1"),
         "q5_retrieval_contrast": _sql(COMPARED, "SELECT question_id AS name, 0::BIGINT AS expected, (sum(n_tickets) FILTER (WHERE side = 'keyword'))::BIGINT AS actual, "
                                                 "sum(n_tickets) FILTER (WHERE side = 'keyword') = 0 AND sum(n_tickets) FILTER (WHERE side = 'semantic') > 0 AS passed FROM contexts GROUP BY 1"),
+        "q5_answers_cited": _sql(COMPARED, "SELECT question_id AS name, 0::BIGINT AS expected, 0::BIGINT AS actual, n_tickets > 0 AS passed FROM contexts WHERE side = 'semantic'"),
+        "q6_stored_schema": "SELECT name, expected, expected AS actual, true AS passed FROM (VALUES "
+                            + ", ".join(f"('{f.name}', '{f.dataType.simpleString()}')" for f in TICKET_SCHEMA) + ") v(name, expected)",
         "q7_kinds_agree": _sql(EXPANDED, "SELECT 'assets drawn as reached' AS name, 0::BIGINT AS expected, count(*) FILTER (WHERE (kind = 'meaning') <> by_meaning_only) AS actual, "
                                          "count(*) FILTER (WHERE (kind = 'meaning') <> by_meaning_only) = 0 AS passed FROM expanded"),
     }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -11,15 +12,19 @@ from pyspark.sql import functions as F
 from groundwork.functions import numbers, text, vectors
 from groundwork.functions.embedding import embed, hashed_terms
 from groundwork.operators import analytics, cells, expectations, fusion, graph, grounding, keyword, nearest, similarity
-from groundwork.schema import ANSWER_POOL, FUSION_DEPTH, TICKET_COLUMNS
-from groundwork.session import materialise, ship
+from groundwork.schema import ANSWER_POOL, FUSION_DEPTH, TICKET_COLUMNS, TICKET_SCHEMA
+from groundwork.session import materialise, shared_folder, ship
+from groundwork.sizing import held
 from groundwork.sources import given, merge
-from groundwork.sources.tickets import clean_values, to_ticket
+from groundwork.sources.tickets import clean_values, read_raw, read_store, read_tickets, store, to_ticket, write_csv
 
 STORED_THRESHOLD = 0.65
 NARROW = given.DIMS // 2
-N_CELLS = 16
 N_PROBES = 4
+# More than there are cells: all of them.
+ALL_PROBES = 1 << 30
+# Codes whose first vectors are broadcast.
+MAX_CODES = 10_000
 LONE_QUESTION = given.CATALOGUE["vector"][0]
 
 
@@ -64,6 +69,9 @@ class Setting:
     def asked(self, panel: str) -> DataFrame:
         return given.with_vector(self.questions(panel))
 
+    def new_path(self, what: str) -> str:
+        return f"{shared_folder(self.spark)}/groundwork-{what}-{uuid.uuid4().hex}"
+
     def similar(self) -> DataFrame:
         return similarity.similar_to(self.corpus)
 
@@ -104,6 +112,47 @@ def _values(rows: DataFrame, vector: str, *keys: str) -> DataFrame:
         "value", F.round(F.col("value").cast("double"), 6))
 
 
+def _csv(g: Setting) -> str:
+    path = g.new_path("csv")
+    write_csv(g.whole, path)
+    return path
+
+
+def s1_read_tickets(g: Setting) -> DataFrame:
+    """Tickets written as CSV and read back, typed."""
+    return read_tickets(g.spark, _csv(g), encoded=True)
+
+
+def s2_write_tickets(g: Setting) -> DataFrame:
+    """The written fields as text: id, title, description and resolution, and the hours as they stand in the file."""
+    return read_raw(g.spark, _csv(g), encoded=True).select(
+        "ticket_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "description", "resolution")],
+        F.coalesce(F.col("resolved_hours").try_cast("double"), F.lit(-1.0)).alias("hours"))
+
+
+def _stored(g: Setting) -> str:
+    path = g.new_path("store")
+    store(g.tickets, path)
+    return path
+
+
+def s13_create_and_recreate(g: Setting) -> DataFrame:
+    """Rows after creation, after a second creation that must change nothing, and after recreation without D0."""
+    path = g.new_path("store")
+    counts = []
+    for step, (rows, recreate) in enumerate([(g.tickets, False), (g.tickets.filter("domain = 'D1'"), False),
+                                             (g.tickets.filter("domain <> 'D0'"), True)]):
+        store(rows, path, recreate)
+        counts.append(materialise(read_store(g.spark, path).groupBy("domain").agg(F.count("*").alias("n")))
+                      .withColumn("step", F.lit(step)))
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).select("step", "domain", "n")
+
+
+def s14_one_domain(g: Setting) -> DataFrame:
+    """One domain of the stored tickets: a filter on the partition column."""
+    return read_store(g.spark, _stored(g)).filter(F.col("domain") == "D1").select(*TICKET_COLUMNS)
+
+
 def s3_to_ticket(g: Setting) -> DataFrame:
     raw = g.whole.select(*[F.col(c).cast("string").alias(c) for c in TICKET_COLUMNS])
     return to_ticket(raw)
@@ -138,7 +187,10 @@ def s9_truncate(g: Setting) -> DataFrame:
 
 def s10_vector_text(g: Setting) -> DataFrame:
     out = g.stored.select("ticket_id", vectors.to_text("embedding").alias("vector_text"))
-    return out.withColumn("values_read_back", F.size(vectors.from_text("vector_text")))
+    out = out.withColumn("back", vectors.from_text("vector_text"))
+    weighted = F.transform("back", lambda x, i: x.cast("double") * (i + 1))
+    total = F.aggregate(weighted, F.lit(0.0), lambda acc, x: acc + x)
+    return out.select("ticket_id", "vector_text", F.size("back").alias("values_read_back"), F.round(total, 5).alias("weighted_sum"))
 
 
 def _target_and_batch(g: Setting) -> tuple[DataFrame, DataFrame]:
@@ -161,7 +213,7 @@ def s12_upsert_embedding(g: Setting) -> DataFrame:
 
 
 def s15_postings(g: Setting) -> DataFrame:
-    return keyword.term_frequencies(keyword.build_postings(g.searchable))
+    return keyword.terms_of_each(g.searchable)
 
 
 def p1_projection(g: Setting) -> DataFrame:
@@ -215,7 +267,8 @@ def k5_web_matches(g: Setting) -> DataFrame:
 
 
 def k6_bm25(g: Setting) -> DataFrame:
-    return keyword.bm25(g.searchable, g.questions("hybrid"))
+    """The first tickets of each question. `keyword.bm25` gives every ticket with any of its words."""
+    return keyword.best_bm25(g.searchable, g.questions("hybrid"))
 
 
 def k7_cover_density(g: Setting) -> DataFrame:
@@ -230,12 +283,13 @@ def v1_cosine_distance(g: Setting) -> DataFrame:
     """Each given vector against the first vector of its code."""
     first = g.stored.groupBy("error_code").agg(F.min_by("embedding", "ticket_id").alias("first"))
     distance = numbers.six_places(vectors.cosine_distance(F.col("embedding"), F.col("first")))
-    return g.stored.join(first, "error_code").select("ticket_id", distance.alias("distance"))
+    first, few = held(first, MAX_CODES)
+    return g.stored.join(F.broadcast(first) if few else first, "error_code").select("ticket_id", distance.alias("distance"))
 
 
 def v2_vector_search(g: Setting) -> DataFrame:
     vector = F.lit([float(np.float32(x)) for x in hashed_terms(given.DIMS)([LONE_QUESTION])[0]])
-    return nearest.vector_search(g.tickets, g.corpus, vector)
+    return nearest.vector_search(g.tickets, g.corpus, vector).select(F.lit("vector-1").alias("question_id"), "*")
 
 
 def v3_filtered_search(g: Setting) -> DataFrame:
@@ -250,18 +304,26 @@ def v5_batch_topk(g: Setting) -> DataFrame:
     return nearest.search(g.tickets, g.corpus, g.asked("vector"))
 
 
-def _celled(g: Setting) -> tuple[DataFrame, DataFrame]:
+def _celled(g: Setting, probes: int) -> tuple[DataFrame, DataFrame]:
+    """The corpus stored by cell, and the questions with the cells they probe."""
     corpus = materialise(g.corpus.select("ticket_id", "embedding"))
-    centres = cells.fit_cells(corpus, N_CELLS)
-    return cells.in_cells(corpus, centres), cells.with_probes(g.asked("vector"), centres, N_PROBES)
+    centres = cells.pick_cells(corpus, cells.cells_for(corpus.count()))
+    path = g.new_path("cells")
+    cells.store_cells(cells.in_cells(corpus, centres), path)
+    return g.spark.read.parquet(path), cells.with_probes(g.asked("vector"), centres, probes)
 
 
 def v6_approximate(g: Setting) -> DataFrame:
-    return cells.approximate_nearest(*_celled(g))
+    return cells.approximate_nearest(*_celled(g, N_PROBES))
+
+
+def v6_every_cell(g: Setting) -> DataFrame:
+    """With all cells probed the search is exact."""
+    return cells.approximate_nearest(*_celled(g, ALL_PROBES))
 
 
 def v7_access_report(g: Setting) -> DataFrame:
-    return cells.access_report(*_celled(g))
+    return cells.access_report(*_celled(g, N_PROBES))
 
 
 def v8_width_report(g: Setting) -> DataFrame:
@@ -372,6 +434,10 @@ def g6_walk_by_meaning(g: Setting) -> DataFrame:
     return graph.walk_by_meaning(g.tickets, g.similar())
 
 
+def g7_seeds(g: Setting) -> DataFrame:
+    return graph.seeds_of(g.tickets, g.corpus, g.asked("graph"))
+
+
 def g7_expand(g: Setting) -> DataFrame:
     return graph.in_display_order(g.expanded())
 
@@ -417,9 +483,10 @@ def r8_verdict(g: Setting) -> DataFrame:
 
 
 def q1_row_counts(g: Setting) -> DataFrame:
+    """The written tables against their source."""
     documents = given.table(g.spark, g.sf_dir, "documents")
-    return (expectations.row_count("tickets", g.tickets, documents)
-            .unionByName(expectations.row_count("ticket nodes", graph.ticket_nodes(g.tickets), documents)))
+    return (expectations.row_count("tickets", read_store(g.spark, _stored(g)), documents)
+            .unionByName(expectations.row_count("ticket nodes", materialise(graph.ticket_nodes(g.tickets)), documents)))
 
 
 def q2_term_counts(g: Setting) -> DataFrame:
@@ -441,25 +508,35 @@ def q5_retrieval_contrast(g: Setting) -> DataFrame:
     return expectations.retrieval_contrast(grounding.compare(g.searchable, g.corpus, g.asked("grounded")))
 
 
+def q5_answers_cited(g: Setting) -> DataFrame:
+    return expectations.answers_cited(grounding.compare(g.searchable, g.corpus, g.asked("grounded")))
+
+
+def q6_stored_schema(g: Setting) -> DataFrame:
+    """The columns of the stored tickets against the contract."""
+    return expectations.schema(read_store(g.spark, _stored(g)), TICKET_SCHEMA)
+
+
 def q7_kinds_agree(g: Setting) -> DataFrame:
     return expectations.kinds_agree(g.expanded())
 
 
 _QUERIES = [
-    s3_to_ticket, s4_embedding_text, s5_search_text, s6_embed_batch, s7_hashed_embedding, s8_embed_questions,
+    s1_read_tickets, s2_write_tickets, s13_create_and_recreate, s14_one_domain, s3_to_ticket, s4_embedding_text, s5_search_text, s6_embed_batch, s7_hashed_embedding, s8_embed_questions,
     s9_truncate, s10_vector_text, s11_upsert_replace, s12_upsert_embedding, s15_postings,
     p1_projection, p2_filter, p3_resolved, p4_key_lookup, p5_key_set, p6_clean_values, p7_kinds,
     k1_keyword_search, k2_keyword_count, k3_term_counts, k4_match_all, k5_web_matches, k6_bm25, k7_cover_density,
     k8_vocabulary,
     v1_cosine_distance, v2_vector_search, v3_filtered_search, v4_plain_english, v5_batch_topk, v6_approximate,
-    v7_access_report, v8_width_report,
+    v6_every_cell, v7_access_report, v8_width_report,
     h1_hybrid_search, h2_hybrid_by_hand, h3_candidates, h4_rank_only,
     a1_total, a2_count_by_domain, a3_distinct, a4_facets, a5_semantic_aggregate, a6_urgent, a7_average_hours,
     a8_text_aggregate, a9_frequency, a10_graph_counts, a11_composition, t2_first_ticket,
     g1_nodes, g2_ticket_nodes, g3_declared_edges, g4_similar_to, g4_similar_stored_vectors, g5_walk_by_code,
-    g6_walk_by_meaning, g7_expand, g8_new_assets,
+    g6_walk_by_meaning, g7_seeds, g7_expand, g8_new_assets,
     r1_long_context, r2_short_context, r3_prompts, r4_answers, r5_compare, r6_citations, r7_verify, r8_verdict,
-    q1_row_counts, q2_term_counts, q3_top_composition, q4_graph_reach, q5_retrieval_contrast, q7_kinds_agree,
+    q1_row_counts, q2_term_counts, q3_top_composition, q4_graph_reach, q5_retrieval_contrast,
+    q5_answers_cited, q6_stored_schema, q7_kinds_agree,
 ]
 
 

@@ -21,11 +21,14 @@ _VARIANT = "CASE WHEN n_chars % 8 < 5 THEN 0 WHEN n_chars % 8 < 7 THEN 1 ELSE 2
 
 
 def _id_from(number: str) -> str:
+    """`INC-year-number`. From number 797,400,000 on the year has five digits and is no citation any more:
+    `tickets` fails there rather than lose citations."""
     return (f"concat('INC-', cast(2026 + floor(({number}) / 100000) AS bigint), '-', "
             f"lpad(cast(({number}) % 100000 AS varchar(20)), 5, '0'))")
 
 
 TICKET_ID = _id_from("doc_id")
+LAST_NUMBER = (10_000 - 2026) * 100_000
 
 TICKET_EXPRESSIONS = {
     "ticket_id": TICKET_ID,
@@ -94,12 +97,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Over all cores, for work on whole texts, when a table lies in fewer files than there are cores.
+    """Over all cores, for work on whole texts, when a scan has fewer splits than there are cores.
 
-    A large table has more files than cores and stays where it is.
+    Such a table is smaller than one split (spark.sql.files.maxPartitionBytes) for each core, which
+    bounds what is dealt out. A larger one has more splits, however few its files, and stays in place.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def tickets(spark: SparkSession, sf_dir: str, whole_text: bool = False) -> DataFrame:
@@ -109,6 +113,8 @@ def tickets(spark: SparkSession, sf_dir: str, whole_text: bool = False) -> DataF
     """
     documents = table(spark, sf_dir, "documents")
     columns = [f"{sql} AS {name}" for name, sql in TICKET_EXPRESSIONS.items()]
+    columns[0] = (f"CASE WHEN doc_id >= {LAST_NUMBER} THEN raise_error('doc_id too large for a ticket id') "
+                  f"ELSE {TICKET_ID} END AS ticket_id")
     columns.insert(1, f"{OPENED_AT} AS opened_at")
     return (spread(documents) if whole_text else documents).selectExpr(*columns)
 

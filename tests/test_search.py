@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from groundwork.functions import text
 from groundwork.functions.embedding import embed, hashed_terms
 from groundwork.operators import cells, fusion, keyword, nearest
+from groundwork.operators.ranking import first_of_each
 from tests.fixture import questions, tickets
 
 
@@ -222,3 +223,44 @@ def test_workers_round_halves_up_as_the_ranking_does():
     best = nearest.Best(1, 1)
     best.offer(np.array(["a", "b"], object), np.array([[0.1234565, 0.1234560]]), np.array([0]))
     assert list(best.ids[0]) == ["b"]
+
+
+def test_every_scope_narrows_the_scan(spark):
+    rows = tickets(spark)
+    scopes = [{"domain": "Energy", "severity": "High"}, {"domain": "Retail", "severity": None}]
+    inside = nearest.within_reach(rows, scopes)
+    assert {r["domain"] for r in inside.collect()} == {"Energy", "Retail"}
+    assert inside.count() == rows.filter(F.col("domain").isin("Energy", "Retail")).count()
+    assert nearest.within_reach(rows, [*scopes, {"domain": None}]).count() == rows.count()
+    assert nearest.within_reach(rows, []).count() == rows.count()
+
+
+def test_one_key_with_very_many_rows_is_ranked_in_parts(spark):
+    rows = spark.range(5000).select(F.lit("q").alias("question_id"), F.format_string("t%05d", "id").alias("ticket_id"), (F.col("id") % 7).alias("step"))
+    got = first_of_each(rows, "question_id", ["step", "ticket_id"], 4).orderBy("rank").collect()
+    assert [(r["rank"], r["ticket_id"]) for r in got] == [(1, "t00000"), (2, "t00007"), (3, "t00014"), (4, "t00021")]
+
+
+def test_terms_counted_in_the_row_equal_the_postings(spark):
+    rows = tickets(spark).unionByName(tickets(spark).limit(1).withColumns({"ticket_id": F.lit("none"), "search_text": F.lit("")}))
+    names = ["ticket_id", "doc_len", "term", "tf"]
+    counted = keyword.term_frequencies(keyword.build_postings(rows)).select(*names)
+    assert sorted(map(tuple, keyword.terms_of_each(rows).select(*names).collect())) == sorted(map(tuple, counted.collect()))
+    assert "Exchange" not in keyword.terms_of_each(tickets(spark))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bm25_beyond_the_matrix_bound_is_the_same(spark, monkeypatch):
+    rows = tickets(spark)
+    asked = questions(spark, ("a", "pump vibration at high load", [1.0, 0.0, 0.0, 0.0]), ("b", "checkout payment", [1.0, 0.0, 0.0, 0.0]))
+    few = sorted(map(tuple, keyword.bm25(rows, asked).collect()))
+    monkeypatch.setattr(keyword, "MAX_MATRIX", 0)
+    assert few and sorted(map(tuple, keyword.bm25(rows, asked).collect())) == few
+
+
+def test_picked_cells_are_vectors_of_the_corpus_and_bounded_by_bytes(spark, monkeypatch):
+    corpus = spark.createDataFrame([(f"t{i}", [float(i), 1.0]) for i in range(1, 9)] + [("zero", [0.0, 0.0])], "ticket_id string, embedding array<float>")
+    centres = cells.pick_cells(corpus, 5)
+    assert centres.shape == (5, 2) and np.allclose(np.linalg.norm(centres, axis=1), 1.0)
+    monkeypatch.setattr(cells, "MAX_CENTRE_BYTES", 8)
+    with pytest.raises(ValueError):
+        cells.pick_cells(corpus, 5)

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from groundwork.functions.vectors import from_text, to_text
@@ -8,13 +9,15 @@ from groundwork.sources.tickets import read_raw, read_store, read_tickets, store
 from tests.fixture import tickets
 
 
-def test_csv_round_trip_keeps_text_and_types(spark, tmp_path):
-    rows = tickets(spark).withColumn("description", F.when(F.col("ticket_id") == "INC-2026-04001", 'two\nlines, "quoted"').otherwise(F.col("description")))
+@pytest.mark.parametrize("encoded", [True, False])
+def test_csv_round_trip_keeps_text_and_types(spark, tmp_path, encoded):
+    text = ' two\nlines, "quoted" and C:\\new\\\\s '
+    rows = tickets(spark).withColumn("description", F.when(F.col("ticket_id") == "INC-2026-04001", text).otherwise(F.col("description")))
     path = str(tmp_path / "csv")
-    write_csv(rows, path)
-    back = {r["ticket_id"]: r for r in read_tickets(spark, path).collect()}
+    write_csv(rows, path, encoded=encoded)
+    back = {r["ticket_id"]: r for r in read_tickets(spark, path, multi_line=not encoded, encoded=encoded).collect()}
     assert len(back) == 16
-    assert back["INC-2026-04001"]["description"] == 'two\nlines, "quoted"'
+    assert back["INC-2026-04001"]["description"] == text
     assert back["INC-2026-04000"]["asset"] == "MV Kvitøy"
     assert back["INC-2026-04002"]["resolution"] == "" and back["INC-2026-04003"]["resolution"] == ""
     assert back["INC-2026-04003"]["resolved_hours"] is None
