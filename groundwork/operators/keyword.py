@@ -201,7 +201,7 @@ def _collection(tickets: DataFrame) -> tuple[Column, Column]:
     return lengths.agg(F.count("*").cast("double")).scalar(), lengths.agg(F.avg("doc_len")).scalar()
 
 
-def _idf(df: Column, size: Column) -> Column:
+def inverse_frequency(df: Column, size: Column) -> Column:
     return F.log(1 + (size - df + 0.5) / (df + 0.5))
 
 
@@ -228,7 +228,7 @@ def _scored_in_place(tickets: DataFrame, wanted: DataFrame, depth: int | None, k
                  .join(F.broadcast(wanted.select("term").distinct()), "term")
                  .groupBy("term").agg(F.count("*").alias("df")))
     weights = wanted.join(frequency, "term").select(
-        "question_id", "term", _idf(F.col("df"), size).alias("idf"), mean_length.alias("mean")).toArrow()
+        "question_id", "term", inverse_frequency(F.col("df"), size).alias("idf"), mean_length.alias("mean")).toArrow()
     if weights.num_rows == 0:
         return tickets.sparkSession.createDataFrame([], "question_id string, ticket_id string, score double")
 
@@ -278,7 +278,7 @@ def _scored_by_join(tickets: DataFrame, wanted: DataFrame, k1: float, b: float)
     found = (occurrences.join(wanted.select("term").distinct(), "term")
              .groupBy("ticket_id", "doc_len", "term").agg(F.count("*").alias("tf")))
     frequency = found.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = wanted.join(frequency, "term").select("question_id", "term", _idf(F.col("df"), size).alias("idf"))
+    weighted = wanted.join(frequency, "term").select("question_id", "term", inverse_frequency(F.col("df"), size).alias("idf"))
 
     gain = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / mean_length))
     return (found.join(weighted, "term").groupBy("question_id", "ticket_id")
@@ -299,16 +299,13 @@ def best_bm25(tickets: DataFrame, queries: DataFrame, depth: int = FUSION_DEPTH,
     return best_first(scores, depth)
 
 
-def cover_density(tickets: DataFrame, queries: DataFrame, text: str = "question") -> DataFrame:
-    """(question_id, ticket_id, score) of every ticket with all query terms, by how close they stand.
+def cover_score(matched: Column, terms: Column) -> Column:
+    """The sum over minimal covers of one over their length (after Clarke, Cormack and Tudhope 2000).
 
-    The score is the sum over minimal covers of one over their length (after Clarke, Cormack and
-    Tudhope 2000). It is folded over the matched positions inside the row of the pair.
+    `matched` has pos and term (from 1) of the matched places of a text in order, `terms` is the number
+    of terms. It is folded inside the row.
     """
-    at = F.transform("words", lambda w, i: F.struct(F.array_position("needed", w).alias("term"), i.alias("pos")))
-    matched = F.filter(at, lambda p: p["term"] > 0)
-    start = F.struct(
-        F.transform("needed", lambda _: F.lit(-1)).alias("last"), F.lit(-1).alias("low"), F.lit(0.0).alias("score"))
+    start = F.struct(F.array_repeat(F.lit(-1), terms).alias("last"), F.lit(-1).alias("low"), F.lit(0.0).alias("score"))
 
     def step(acc: Column, place: Column) -> Column:
         last = F.transform(acc["last"], lambda x, i: F.when(i + 1 == place["term"], place["pos"]).otherwise(x))
@@ -323,7 +320,13 @@ def cover_density(tickets: DataFrame, queries: DataFrame, text: str = "question"
     def fold(acc: Column, place: Column) -> Column:
         return F.element_at(F.transform(F.array(step(acc, place)), cover), 1)
 
-    score = F.aggregate(matched, start, fold, lambda acc: acc["score"])
+    return F.aggregate(matched, start, fold, lambda acc: acc["score"])
+
+
+def cover_density(tickets: DataFrame, queries: DataFrame, text: str = "question") -> DataFrame:
+    """(question_id, ticket_id, score) of every ticket with all query terms, by how close they stand."""
+    at = F.transform("words", lambda w, i: F.struct(F.array_position("needed", w).alias("term"), i.alias("pos")))
+    score = cover_score(F.filter(at, lambda p: p["term"] > 0), F.size("needed"))
     return _all_terms(tickets, queries, text).select("question_id", "ticket_id", F.round(score, 6).alias("score"))
 
 

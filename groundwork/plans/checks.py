@@ -333,7 +333,17 @@ def _sql(ctes: dict[str, str], final: str) -> str:
     return f"WITH {parts}\n{final}"
 
 
+# Searches over a stored index, and those over the texts with which they agree.
+INDEXED = {"k1_indexed_search": "k1_keyword_search", "k3_indexed_counts": "k3_term_counts", "k4_indexed_match_all": "k4_match_all",
+           "k6_indexed_bm25": "k6_bm25", "k7_indexed_cover_density": "k7_cover_density"}
+
+
 def oracle_sql() -> dict[str, str]:
+    checks = _oracle_sql()
+    return checks | {indexed: checks[name] for indexed, name in INDEXED.items()}
+
+
+def _oracle_sql() -> dict[str, str]:
     top = f"rank <= {TOP_K}"
     places = " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(SEVERITY_ORDER))
     urgent = f"count(*) FILTER (WHERE t.severity IN {_in(URGENT)})"

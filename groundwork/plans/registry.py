@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from groundwork.functions import numbers, text, vectors
 from groundwork.functions.embedding import embed, hashed_terms
-from groundwork.operators import analytics, cells, expectations, fusion, graph, grounding, keyword, nearest, similarity
+from groundwork.operators import analytics, cells, expectations, fusion, graph, grounding, index, keyword, nearest, similarity
 from groundwork.schema import ANSWER_POOL, FUSION_DEPTH, TICKET_COLUMNS, TICKET_SCHEMA
 from groundwork.session import materialise, shared_folder, ship
 from groundwork.sizing import held
@@ -275,6 +275,32 @@ def k7_cover_density(g: Setting) -> DataFrame:
     return keyword.cover_density(g.searchable, g.questions("hybrid"))
 
 
+def _indexed(g: Setting) -> index.KeywordIndex:
+    path = g.new_path("index")
+    index.build_index(g.searchable, path)
+    return index.open_index(g.spark, path)
+
+
+def k1_indexed_search(g: Setting) -> DataFrame:
+    return index.keyword_search(_indexed(g), g.whole, g.terms)
+
+
+def k3_indexed_counts(g: Setting) -> DataFrame:
+    return index.keyword_count(_indexed(g), g.terms)
+
+
+def k4_indexed_match_all(g: Setting) -> DataFrame:
+    return index.match_all(_indexed(g), g.questions("hybrid"))
+
+
+def k6_indexed_bm25(g: Setting) -> DataFrame:
+    return index.best_bm25(_indexed(g), g.questions("hybrid"))
+
+
+def k7_indexed_cover_density(g: Setting) -> DataFrame:
+    return index.cover_density(_indexed(g), g.questions("hybrid"))
+
+
 def k8_vocabulary(g: Setting) -> DataFrame:
     return keyword.vocabulary(g.searchable)
 
@@ -526,6 +552,7 @@ _QUERIES = [
     s9_truncate, s10_vector_text, s11_upsert_replace, s12_upsert_embedding, s15_postings,
     p1_projection, p2_filter, p3_resolved, p4_key_lookup, p5_key_set, p6_clean_values, p7_kinds,
     k1_keyword_search, k2_keyword_count, k3_term_counts, k4_match_all, k5_web_matches, k6_bm25, k7_cover_density,
+    k1_indexed_search, k3_indexed_counts, k4_indexed_match_all, k6_indexed_bm25, k7_indexed_cover_density,
     k8_vocabulary,
     v1_cosine_distance, v2_vector_search, v3_filtered_search, v4_plain_english, v5_batch_topk, v6_approximate,
     v6_every_cell, v7_access_report, v8_width_report,

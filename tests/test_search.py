@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from groundwork.functions import text
 from groundwork.functions.embedding import embed, hashed_terms
-from groundwork.operators import cells, fusion, keyword, nearest
+from groundwork.operators import cells, fusion, index, keyword, nearest
 from groundwork.operators.ranking import first_of_each
 from tests.fixture import questions, tickets
 
@@ -264,3 +265,47 @@ def test_picked_cells_are_vectors_of_the_corpus_and_bounded_by_bytes(spark, monk
     monkeypatch.setattr(cells, "MAX_CENTRE_BYTES", 8)
     with pytest.raises(ValueError):
         cells.pick_cells(corpus, 5)
+
+
+@pytest.fixture(scope="module")
+def stored_index(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("index") / "keyword")
+    index.build_index(tickets(spark), path, folders=8)
+    return index.open_index(spark, path)
+
+
+INDEXED_TEXTS = ["pump", "the bus", "noise on the bus", "pay pay", "pumps shudder", "", "of the", "nowhere to be found", "printer stops mid sale"]
+
+
+@pytest.mark.parametrize("bound", [20_000, 0])
+def test_searches_of_the_index_equal_those_of_the_texts(spark, stored_index, monkeypatch, bound):
+    monkeypatch.setattr(index, "MAX_WANTED", bound)  # at 0 nothing is broadcast
+    rows = tickets(spark)
+    asked = spark.createDataFrame([(str(i), text) for i, text in enumerate(INDEXED_TEXTS)], "question_id string, question string")
+    searches = [(index.phrase_matches, keyword.phrase_matches), (index.match_all, keyword.match_all)]
+    if bound:
+        searches += [(index.bm25, keyword.bm25), (index.cover_density, keyword.cover_density)]
+    for there, here in searches:
+        got, want = (sorted(map(tuple, found.collect())) for found in (there(stored_index, asked), here(rows, asked)))
+        assert want and got == want, there.__name__
+    if not bound:
+        return
+    terms = asked.select(F.col("question").alias("term"))
+    assert sorted(map(tuple, index.keyword_count(stored_index, terms).collect())) == sorted(map(tuple, keyword.keyword_count(rows, terms).collect()))
+    assert sorted(map(tuple, index.keyword_search(stored_index, rows, terms).collect())) == sorted(map(tuple, keyword.keyword_search(rows, terms).collect()))
+
+
+def test_the_index_is_read_by_folder_and_texts_are_not(spark, stored_index):
+    one = spark.createDataFrame([("q", "printer")], "question_id string, question string")
+    plan = index.bm25(stored_index, one)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert scans and all(re.search(r"PartitionFilters: \[[^\]]*part#\d+ (=|IN)", line) for line in scans)
+    assert "regexp_extract_all" not in plan and "hits" not in plan
+
+
+def test_an_index_of_nothing_finds_nothing(spark, tmp_path):
+    path = str(tmp_path / "none")
+    index.build_index(tickets(spark).limit(0), path, folders=2)
+    asked = spark.createDataFrame([("q", "printer stops")], "question_id string, question string")
+    empty = index.open_index(spark, path)
+    assert index.phrase_matches(empty, asked).isEmpty() and index.bm25(empty, asked).isEmpty()
