@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 4000
+# Tasks of one join; beyond it a task takes several pairs of blocks, one after the other.
+MAX_PARTS = 20_000
 
 
 def cell_counts(rows: DataFrame) -> np.ndarray:
@@ -47,9 +49,15 @@ def join_blocks(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
         )
 
     # Work grows with the product of the block sizes and not with bytes, so the partitions are not
-    # merged by their bytes: the number is fixed to that of a shuffle.
+    # merged by their bytes: there are as many as pairs of
+    # blocks, but no fewer than a shuffle has and no more than MAX_PARTS.
     keys = ["block_cell", "left_block", "right_block"]
-    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = np.zeros(cells, np.int64)
+    pairs[: len(left_counts)] = -(-left_counts // block_rows)
+    pairs[: len(right_counts)] *= -(-right_counts // block_rows)
+    pairs[len(right_counts):] = 0
+    at_least = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(max(int(pairs.sum()), at_least), MAX_PARTS)
     lefts = spread(left, left_id, "left", blocks(left_counts), "right", blocks(right_counts))
     rights = spread(right, right_id, "right", blocks(right_counts), "left", blocks(left_counts))
     return (

@@ -8,8 +8,9 @@ leaving out any one code still leaves `per_ticket` of the smallest ids. So a vec
 of all tickets is one source for each code and a handful of targets, and no pairs of copies arise.
 
 Pruning. Vectors are assigned to the nearest of some pivots. Angles obey the triangle inequality, so
-a source at angle a from a pivot can only reach targets at an angle between a - t and a + t from it,
-t being the threshold's angle. A source visits just the cells whose range of angles meets that band.
+a source at angle a from a pivot can only reach targets at an angle between a - t and a + t from it.
+A source looks into its own cell first. From then on t is the angle of the last of its `per_ticket` hits
+there, or the threshold's if it has fewer, and it visits just the cells whose range meets that band.
 
 If most sources would visit most cells there is nothing to prune, and all is one cell.
 
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwork.functions.numbers import six_place_steps, six_places
@@ -71,21 +72,51 @@ def _in_cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     return rows.mapInArrow(assign, f"{columns}, block_cell int, angle double")
 
 
-def _visits(rows: DataFrame, pivots: np.ndarray, nearest: np.ndarray, farthest: np.ndarray, reach: float) -> DataFrame:
-    """One row for each cell that a source has to look into."""
+def _meets(batch: pa.RecordBatch, pivots: np.ndarray, nearest: np.ndarray, farthest: np.ndarray) -> np.ndarray:
+    """Which other cells each source has to look into: those whose range of angles meets its own reach."""
+    angles = _angles(matrix(batch.column("embedding")), pivots)
+    gap = np.maximum(angles - farthest, nearest - angles)
+    meets = gap <= batch.column("reach").to_numpy()[:, None] + _SLACK
+    meets[np.arange(len(meets)), batch.column("own_cell").to_numpy()] = False
+    return meets
+
+
+def _visit_counts(rows: DataFrame, pivots: np.ndarray, nearest: np.ndarray, farthest: np.ndarray) -> np.ndarray:
+    """Visits of each cell. A batch gives one figure for a cell, so no vector moves."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                visits = _meets(batch, pivots, nearest, farthest).sum(axis=0)
+                cell = np.nonzero(visits)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(visits[cell].astype(np.int64))],
+                                                 names=["block_cell", "visits"])
+
+    counted = rows.select("embedding", "reach", "own_cell").mapInArrow(count, "block_cell int, visits long")
+    counted = counted.groupBy("block_cell").agg(F.sum("visits").alias("visits")).toArrow()
+    counts = np.zeros(len(pivots), np.int64)
+    counts[counted.column("block_cell").to_numpy()] = counted.column("visits").to_numpy()
+    return counts
+
+
+def _visits(rows: DataFrame, pivots: np.ndarray, nearest: np.ndarray, farthest: np.ndarray) -> DataFrame:
+    """One row for each other cell that a source has to look into."""
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                angles = _angles(matrix(batch.column("embedding")), pivots)
-                gap = np.maximum(angles - farthest, nearest - angles)
-                row, cell = np.nonzero(gap <= reach + _SLACK)
+                row, cell = np.nonzero(_meets(batch, pivots, nearest, farthest))
                 yield batch.take(pa.array(row)).append_column("block_cell", pa.array(cell.astype(np.int32)))
 
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(visit, f"{columns}, block_cell int")
 
 
+def _reach(distance: Column) -> Column:
+    """The angle of a distance to six places, with half a step for its rounding."""
+    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1.0 - (distance + 1e-6))))
+
+
 def _near_in_block(max_distance: float, per_ticket: int):
     """For each source of a block, its nearest targets with another code."""
 
@@ -147,23 +178,37 @@ def similar_to(tickets: DataFrame, max_distance: float = SIMILAR_MAX_DISTANCE,
     nearest, farthest = np.full(len(centres), np.inf), np.full(len(centres), -np.inf)
     cells = ranges.column("block_cell").to_numpy()
     nearest[cells], farthest[cells] = ranges.column("low").to_numpy(), ranges.column("high").to_numpy()
-    reach = float(np.arccos(np.clip(1.0 - max_distance, -1.0, 1.0)))
 
-    sources = sources.filter(directed)
-    visits = _visits(sources, centres, nearest, farthest, reach)
+    # First each source looks into its own cell. The distance of its last hit there is its reach from then
+    # on; a source with fewer hits keeps the threshold's.
     within = placed.drop("angle").withColumnRenamed("embedding", "target_embedding")
-    visit_counts, target_counts = cell_counts(visits), cell_counts(within)
-    n_sources = sources.count()
-    if visit_counts.sum() > MAX_VISITED * len(cells) * n_sources:
-        # vectors without clusters: cells would only repeat every source, so there is one cell
-        visits, within = sources.withColumn("block_cell", F.lit(0)), within.withColumn("block_cell", F.lit(0))
-        visit_counts, target_counts = np.array([n_sources]), np.array([target_counts.sum()])
-    found = join_blocks(visits, within, "ticket_id", "target_id", _near_in_block(max_distance, per_ticket),
-                        "source string, dst string, distance double", block_rows, visit_counts, target_counts)
+    placed_sources = _in_cells(sources.filter(directed), centres).drop("angle")
+    source_counts, target_counts = cell_counts(placed_sources), cell_counts(within)
+    near, schema = _near_in_block(max_distance, per_ticket), "source string, dst string, distance double"
     by_source = Window.partitionBy("source").orderBy("step", "dst")
-    edges = (found.withColumn("step", six_places(F.col("distance")))
-             .withColumn("place", F.row_number().over(by_source)).filter(F.col("place") <= per_ticket)
-             .select("source", "dst", F.col("step").alias("distance")))
+
+    def first(hits: DataFrame) -> DataFrame:
+        stepped = hits.withColumn("step", six_places(F.col("distance")))
+        return stepped.withColumn("place", F.row_number().over(by_source)).filter(F.col("place") <= per_ticket)
+
+    found = join_blocks(placed_sources, within, "ticket_id", "target_id", near, schema, block_rows, source_counts, target_counts)
+    if len(cells) > 1:
+        inside = materialise(first(found))
+        found = inside.select("source", "dst", "distance")
+        own = inside.filter(F.col("place") == per_ticket).select(F.col("source").alias("ticket_id"), F.col("step").alias("last"))
+        reached = materialise(placed_sources.withColumnRenamed("block_cell", "own_cell").join(own, "ticket_id", "left")
+                              .withColumn("reach", _reach(F.coalesce("last", F.lit(float(max_distance))))).drop("last"))
+        visit_counts = _visit_counts(reached, centres, nearest, farthest)
+        if visit_counts.sum() > MAX_VISITED * len(cells) * source_counts.sum():
+            # vectors without clusters: cells would only repeat every source, so there is one cell
+            visits, within = reached.withColumn("block_cell", F.lit(0)), within.withColumn("block_cell", F.lit(0))
+            visit_counts, target_counts = np.array([source_counts.sum()]), np.array([target_counts.sum()])
+            found = join_blocks(visits, within, "ticket_id", "target_id", near, schema, block_rows, visit_counts, target_counts)
+        else:
+            visits = _visits(reached, centres, nearest, farthest)
+            found = found.unionByName(join_blocks(visits, within, "ticket_id", "target_id", near, schema,
+                                                  block_rows, visit_counts, target_counts))
+    edges = first(found).select("source", "dst", F.col("step").alias("distance"))
 
     # Every ticket takes the edges of the source with its vector and code, at most `per_ticket` in a
     # list. Sources are one row for each key, so a vector with very many tickets is split as skew.

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundwork.operators import analytics, expectations, graph, similarity
+from groundwork.operators.blocks import join_blocks
 from tests.fixture import questions, tickets
 
 
@@ -38,6 +39,25 @@ def test_similar_edges_equal_brute_force_with_copies(spark, monkeypatch, pivots,
     assert got == _brute_edges(list(zip(ids, codes, vectors.astype(np.float64))), 0.35, per_ticket)
 
 
+def test_clustered_vectors_meet_few_others(spark, monkeypatch):
+    pairs = []
+
+    def counted(left, right, left_id, right_id, pair, schema, block_rows, left_counts, right_counts):
+        n = min(len(left_counts), len(right_counts))
+        pairs.append(int((left_counts[:n] * right_counts[:n]).sum()))
+        return join_blocks(left, right, left_id, right_id, pair, schema, block_rows, left_counts, right_counts)
+
+    monkeypatch.setattr(similarity, "join_blocks", counted)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16))
+    vectors = (centres[np.arange(800) % 40] + 0.05 * rng.normal(size=(800, 16))).astype(np.float32)
+    rows = [(f"t{i:04d}", f"c{i // 40 % 3}", v.tolist()) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "ticket_id string, error_code string, embedding array<float>")
+    got = {(r["src"], r["dst"]) for r in similarity.similar_to(df, 0.40, 2, 40).collect()}
+    assert got == _brute_edges([(i, c, vectors[n].astype(np.float64)) for n, (i, c, _) in enumerate(rows)], 0.40, 2)
+    assert len(pairs) == 2 and sum(pairs) < 800 * 800 / 8
+
+
 def test_threshold_is_strict_and_codes_differ(spark):
     df = spark.createDataFrame([("a", "X", [1.0, 0.0]), ("b", "X", [1.0, 0.01]), ("c", "Y", [0.6, 0.8]), ("d", "Z", [0.8, 0.6])],
                                "ticket_id string, error_code string, embedding array<double>")
