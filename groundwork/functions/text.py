@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# English stop words (the public Snowball list), each a single token.
+# English stop words (the list of 127 words distributed with NLTK), each a single token.
 STOP_WORDS = (
     "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her "
     "hers herself it its itself they them their theirs themselves what which who whom this that these "
