@@ -1,0 +1,173 @@
+"""Near copies by five-word shingles: every pair of texts whose sets have a Jaccard similarity of 0.8 or more.
+
+The search is exact. Shingles have one order for all texts, frequent ones last; two sets that are similar
+enough share a shingle among the first of both (prefix filter), whatever the order is. Pairs that meet in
+such a shingle are compared as whole sets.
+
+Classes need no pair whose texts are in one class already. Texts that SimHash puts together start as one
+class, texts with equal sets are one node, and in crowded shingles all texts meet one of them first: a group
+of near copies becomes one class by as many comparisons as it has texts. Only texts of different classes are
+then compared pair by pair.
+"""
+
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from groundwork.llm import simhash
+from groundwork.llm.common import row_key
+from groundwork.llm.components import components
+from groundwork.session import materialise
+
+WORDS = 5
+# Similarity of at least MANY / WHOLE, as whole numbers so that a pair at the threshold is never lost to rounding.
+MANY, WHOLE = 4, 5
+# Frequent shingles that are put last. The list only orders: a shingle missing from it costs time, not pairs.
+FREQUENT = 100_000
+# Pairs a live row may cost before its shingle is first reduced by one text that all others meet.
+PAIRS_A_ROW = 4
+
+
+def hashed_rows(docs: DataFrame, row_id: str, text: str) -> DataFrame:
+    return docs.select(row_key(F.col(row_id), F.col(text)).alias("row_key"), simhash.shingle_hashes(F.col(text), WORDS).alias("hashes"))
+
+
+def lists(column: pa.Array) -> list[np.ndarray]:
+    """The distinct hashes of each row, sorted."""
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    return [np.unique(values[s:e]) for s, e in zip(np.concatenate([[0], ends[:-1]]), ends)] if len(column) else []
+
+
+def frequent(hashed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that occur most often, sorted, and how often. Only those repeated within a batch are counted."""
+
+    def run(batches):
+        for batch in batches:
+            found = lists(batch.column("hashes"))
+            values, counts = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64), return_counts=True)
+            yield pa.record_batch([pa.array(values[counts > 1]), pa.array(counts[counts > 1].astype(np.int64))], ["h", "n"])
+
+    counted = hashed.select("hashes").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    top = counted.orderBy(F.col("n").desc(), "h").limit(FREQUENT).toArrow()
+    values, counts = (top.column(c).to_numpy().astype(np.int64) for c in ("h", "n"))
+    at = np.argsort(values)
+    return values[at], counts[at]
+
+
+def prefixed(hashed: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """row_key, set_id (the same for equal sets), n, and prefix: the shingles of which similar sets share one.
+
+    A text without words has no shingle and is left out.
+    """
+    known, often = order
+
+    def prefix(hashes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
+        place = np.where(known[at] == hashes, often[at], 0) if len(known) else np.zeros(len(hashes), np.int64)
+        n = len(hashes)
+        return hashes[np.lexsort((hashes, place))[: n - -(-n * MANY // WHOLE) + 1]]
+
+    def run(batches):
+        for batch in batches:
+            rows = [(k, h) for k, h in zip(batch.column("row_key").to_pylist(), lists(batch.column("hashes"))) if len(h)]
+            ids = [int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True) for _, h in rows]
+            yield pa.record_batch([pa.array([k for k, _ in rows], pa.string()), pa.array(ids, pa.int64()), pa.array([len(h) for _, h in rows], pa.int64()),
+                                   pa.array([prefix(h) for _, h in rows], pa.list_(pa.int64()))], ["row_key", "set_id", "n", "prefix"])
+
+    return hashed.mapInArrow(run, "row_key string, set_id long, n long, prefix array<long>")
+
+
+def similar(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Of pairs (a, b, and the classes ra, rb) those whose whole sets are similar enough."""
+    left = bodies.select(F.col("set_id").alias("a"), F.col("hashes").alias("ha"))
+    right = bodies.select(F.col("set_id").alias("b"), F.col("hashes").alias("hb"))
+    shared = pairs.join(left, "a").join(right, "b").withColumn("k", F.size(F.array_intersect("ha", "hb")))
+    enough = F.col("k") * WHOLE >= (F.size("ha") + F.size("hb") - F.col("k")) * MANY
+    return shared.filter(enough).select("a", "b", F.col("ra").alias("a_root"), F.col("rb").alias("b_root"))
+
+
+def renamed(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows with `root` replaced by the smallest root it is linked to."""
+    tops = components(links).select(F.col("node").alias("root"), F.col("root").alias("_top"))
+    return rows.join(tops, "root", "left").withColumn("root", F.coalesce("_top", "root")).drop("_top")
+
+
+def crowded(rows: DataFrame) -> DataFrame:
+    """rows of the shingles at which different classes still meet, and _first: one set of each such shingle."""
+    one = F.struct(F.xxhash64("set_id", "root").alias("o"), F.col("set_id").alias("set_id"), F.col("root").alias("root"), F.col("n").alias("n"))
+    mixed = rows.groupBy("h").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_many"), F.min(one).alias("_first"))
+    return rows.join(mixed.filter(F.col("_lo") < F.col("_hi")).select("h", "_many", "_first"), "h")
+
+
+def near_sizes(n, m):
+    return (n * WHOLE >= m * MANY) & (m * WHOLE >= n * MANY)
+
+
+def class_links(sets: DataFrame, bodies_of) -> DataFrame | None:
+    """a, b: pairs of classes to be joined. `sets` has set_id, n, prefix and root; bodies_of gives the hashes of set ids."""
+    entries = sets.select("set_id", "n", "root", F.explode("prefix").alias("h"))
+    live = materialise(crowded(entries))
+    if live.isEmpty():
+        return None
+    bodies = materialise(bodies_of(live.select("set_id").distinct()))
+    links = None
+    while True:
+        cost = live.groupBy("h").agg(F.count("*").alias("m")).agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("pairs"), F.sum("m").alias("rows")).first()
+        if (cost.pairs or 0) <= PAIRS_A_ROW * (cost.rows or 0):
+            break
+        # Everyone meets one set of the shingle; classes that are one afterwards are not compared again.
+        f = F.col("_first")
+        met = live.filter((F.col("root") != f["root"]) & near_sizes(F.col("n"), f["n"]))
+        pairs = met.select(F.col("set_id").alias("a"), f["set_id"].alias("b"), F.col("root").alias("ra"), f["root"].alias("rb")).distinct()
+        found = materialise(similar(pairs, bodies).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())
+        if found.isEmpty():
+            break
+        links = found if links is None else links.union(found)
+        live = materialise(crowded(renamed(live.select("set_id", "n", "root", "h"), found)))
+    left = live.select("h", F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    right = live.select("h", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    pairs = left.join(right, "h").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near_sizes(F.col("na"), F.col("nb")))
+    found = materialise(similar(pairs.select("a", "b", "ra", "rb").distinct(), bodies).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())
+    return found if links is None else links.union(found)
+
+
+def classes(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of simhash.classes, with class_root joined further by near copies.
+
+    Two texts are linked if they are within simhash.MAX_DISTANCE bits or have a similarity of at least
+    MANY / WHOLE over WORDS-word shingles; a class is what links reach. Texts of fewer words have their whole
+    sequence as one shingle; texts without words are one class.
+    """
+    rows = materialise(simhash.classes(docs, row_id=row_id, text=text).drop("component_id"))
+    hashed = hashed_rows(docs, row_id, text)
+    sets_of = materialise(prefixed(hashed, frequent(hashed)))
+    keys = sets_of.select("row_key", "set_id").distinct()
+    placed = materialise(rows.select("row_key", "class_root").distinct().join(keys, "row_key"))
+    lowest = placed.groupBy("set_id").agg(F.min("class_root").alias("root"), F.min("row_key").alias("row_key"))
+    same = materialise(placed.join(lowest.select("set_id", "root"), "set_id").filter(F.col("class_root") != F.col("root"))
+                       .select(F.col("root").alias("a"), F.col("class_root").alias("b")).distinct())
+    lowest = lowest if same.isEmpty() else renamed(lowest, same)
+    whole = sets_of.groupBy("set_id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    lowest = materialise(lowest)
+
+    def bodies_of(ids: DataFrame) -> DataFrame:
+        asked = lowest.join(ids, "set_id").select("row_key", "set_id")
+        keyed = docs.select(F.col(text).alias("_text"), row_key(F.col(row_id), F.col(text)).alias("row_key"))
+        kept = keyed.join(asked, "row_key").dropDuplicates(["set_id"])
+        return kept.select("set_id", F.array_distinct(simhash.shingle_hashes(F.col("_text"), WORDS)).alias("hashes"))
+
+    links = class_links(whole.join(lowest.select("set_id", "root"), "set_id"), bodies_of)
+    links = same if links is None else same.union(links)
+    tops = components(links).select(F.col("node").alias("class_root"), F.col("root").alias("_top"))
+    return rows.join(tops, "class_root", "left").withColumn("class_root", F.coalesce("_top", "class_root")).drop("_top")
+
+
+def one_of_each(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """All columns of one row of each class, chosen as simhash.one_of_each does."""
+    return simhash.first_of_each(docs, classes(docs, row_id, text), row_id, text)

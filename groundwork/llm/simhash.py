@@ -124,8 +124,13 @@ def classes(docs: DataFrame, words: int = 3, row_id: str = "doc_id", text: str =
 def one_of_each(docs: DataFrame, words: int = 3, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of one row of each component: the one with the smallest doc_id (a null comes last), then
     the smallest hash. Of rows with the same id and text one stays. The rules of `classes` hold."""
+    return first_of_each(docs, classes(docs, words, row_id, text), row_id, text)
+
+
+def first_of_each(docs: DataFrame, found: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that `one_of_each` keeps, for the classes in `found` (doc_id, row_key, class_root)."""
     own = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key"))
-    first = classes(docs, words, row_id, text).groupBy("class_root").agg(F.min_by("row_key", own).alias("_key"))
+    first = found.groupBy("class_root").agg(F.min_by("row_key", own).alias("_key"))
     keyed = docs.withColumn("_key", row_key(F.col(row_id), F.col(text)))
     return keyed.join(first.select("_key"), "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
 

@@ -1,0 +1,76 @@
+"""Near copies against brute force over five-word shingles."""
+
+import random
+import re
+
+import corpus_pipeline
+from groundwork.llm import near_copies, simhash
+from tests.llm.conftest import SF
+
+
+def plain_set(text):
+    words = [w for w in re.split(r"[ \t-\r]+", "".join(c.lower() if c.isascii() else c for c in text or "")) if w]
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def similar_pairs(texts):
+    """Pairs of keys with similarity of at least 0.8, by an inverted list of all shingles."""
+    sets, holding = {k: plain_set(t) for k, t in texts.items()}, {}
+    for k, s in sets.items():
+        for shingle in s:
+            holding.setdefault(shingle, []).append(k)
+    met = {(a, b) for group in holding.values() for a in group for b in group if a < b}
+    return {(a, b) for a, b in met if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+
+
+def roots(keys, pairs):
+    up = {k: k for k in keys}
+
+    def find(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        up[b] = a
+    return {k: find(k) for k in keys}
+
+
+def test_stage_keeps_no_near_copies(spark, documents):
+    before = {r.doc_id: r.text for r in documents.select("doc_id", "text").collect()}
+    two_bits = {}
+    for r in simhash.classes(documents).collect():
+        two_bits.setdefault(r.class_root, []).append(r.doc_id)
+    pairs = similar_pairs(before)
+    want = roots(before, pairs | {(min(g), k) for g in two_bits.values() for k in g})
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, documents, SF).select("doc_id").collect()}
+    assert kept == set(want.values())
+    assert not similar_pairs({k: before[k] for k in kept}) and len(kept) < len(two_bits)
+
+
+def test_crowded_groups_equal_brute_force(spark, monkeypatch):
+    """Groups of near copies, chains of them, a shared passage and equal sets, with and without the rounds for crowded shingles."""
+    rng = random.Random(3)
+    passage = [f"common{i}" for i in range(12)]
+    texts = []
+    for g in range(6):
+        base = [f"g{g}w{rng.randrange(500)}" for _ in range(60)] + passage
+        for _ in range(25):
+            copy = list(base)
+            for _ in range(rng.randrange(3)):
+                copy[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    chain = [f"c{i}" for i in range(80)]
+    for i in range(12):
+        texts.append(" ".join(chain[i * 4 : i * 4 + 40]))
+    texts += [" ".join(passage), "a b c d e " * 9, "a b c d e " * 30, "", "one two", "One  two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    two_bits = {}
+    for r in simhash.classes(docs).collect():
+        two_bits.setdefault(r.class_root, []).append(r.doc_id)
+    want = set(roots(range(len(texts)), similar_pairs(dict(enumerate(texts))) | {(min(g), k) for g in two_bits.values() for k in g}).values())
+    assert len(want) < len(two_bits)
+    for bound in (0, near_copies.PAIRS_A_ROW):
+        monkeypatch.setattr(near_copies, "PAIRS_A_ROW", bound)
+        assert {r.doc_id for r in near_copies.one_of_each(docs).collect()} == want
