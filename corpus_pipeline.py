@@ -40,8 +40,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose tokens follow the target shares of sources, languages and topics."""
-    return mixing.mixed(docs).filter("_kept").select(*docs.columns)
+    """A sample whose tokens follow the target shares of sources, languages and topics, of as many tokens as these allow."""
+    return mixing.mixed(docs, mixing.Mix(meet_targets=True)).filter("_kept").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

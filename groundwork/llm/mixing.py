@@ -2,7 +2,8 @@
 
 Tokens are summed by cell: source, language and topic. The cell weights are raked in turn to the target
 share of every source, language and topic until all three hold. Each document is then kept with the
-probability its cell's weight calls for, scaled so that the expected tokens meet the budget.
+probability its cell's weight calls for, scaled so that the expected tokens meet the budget. Where a cell
+has too few tokens for both, `Mix.meet_targets` says whether the targets or the budget give way.
 
 Cells are a table like any other: every step is a join of cells with the totals of one dimension, and is
 written to the shared folder. The chance of a document is a hash of its id and text, so a run can be
@@ -11,6 +12,7 @@ repeated, and a lost executor changes nothing.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -34,12 +36,17 @@ MARKS = r"""[\s.,;:!?()"'=]+"""
 class Mix:
     """`keep`: share of all tokens to keep, in expectation. `flatten`: a target is a share of today's
     tokens to this power, so 1 keeps the mixture and 0 makes all values of a dimension equal. Raking
-    ends when no factor changes by more than `tolerance` (relative) in a sweep, after `sweeps` at most."""
+    ends when no factor changes by more than `tolerance` (relative) in a sweep, after `sweeps` at most.
+    `meet_targets`: `keep` is an upper bound, lowered so far that no probability has to be cut at 1, and the
+    expected tokens follow all targets. Otherwise `keep` holds and cells that are cut at 1 miss theirs.
+    A share that is off its target by more than `report` (relative) gives a warning."""
 
     keep: float = 0.8
     flatten: float = 0.7
     tolerance: float = 1e-4
     sweeps: int = 30
+    meet_targets: bool = False
+    report: float = 0.01
 
 
 def content(text: Column) -> Column:
@@ -120,11 +127,16 @@ def weighted(cells: DataFrame, factors: dict[str, DataFrame | None]) -> DataFram
 
 def calibrated(weighted: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """cells with `probability`: min(1, scale * weight / tokens), the scale chosen so that the expected
-    tokens are the share `mix.keep` of all (or all that have weight, if that is less)."""
+    tokens are the share `mix.keep` of all (or all that have weight, if that is less). With
+    `mix.meet_targets` the scale is at most the one at which the first cell reaches 1."""
     ratio = F.col("weight") / F.col("tokens")
-    sums = weighted.agg(F.sum("tokens").alias("tokens"), F.sum(F.when(F.col("weight") > 0, F.col("tokens"))).alias("can"), F.max(ratio).alias("top")).first()
+    sums = weighted.agg(F.sum("tokens").alias("tokens"), F.sum(F.when(F.col("weight") > 0, F.col("tokens"))).alias("can"), F.max(ratio).alias("top"),
+                       F.sum("weight").alias("weight")).first()
     if not sums.tokens or not sums.can:
         return weighted.withColumn("probability", F.lit(0.0))
+    if mix.meet_targets:
+        scale = min(mix.keep * sums.tokens / sums.weight, 1.0 / sums.top)
+        return weighted.withColumn("probability", F.least(F.lit(1.0), ratio * F.lit(scale)))
     budget, scale = min(mix.keep * sums.tokens, float(sums.can)), mix.keep * sums.tokens
     while True:  # each round fixes the cells that reach 1, so there are at most as many as cells; in practice a few
         full = ratio * F.lit(scale) >= 1
@@ -138,6 +150,30 @@ def calibrated(weighted: DataFrame, mix: Mix = Mix()) -> DataFrame:
     return weighted.withColumn("probability", F.round(F.least(F.lit(1.0), ratio * F.lit(scale)), 9))
 
 
+def marginals(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """dimension, value, target, share: what each value is to have and has of the expected tokens, for cells with
+    `probability`. A value without a target has target 0, one without tokens share 0."""
+    total = cells.agg(F.sum(F.col("tokens") * F.col("probability")).alias("s")).first().s or 1.0
+    out = None
+    for d, wanted in targets.items():
+        sums = cells.groupBy(F.col(d).alias("_v")).agg((F.sum(F.col("tokens") * F.col("probability")) / F.lit(total)).alias("share"))
+        both = sums.join(wanted.select("value", "target"), F.col("_v").eqNullSafe(F.col("value")), "full")
+        both = both.select(F.lit(d).alias("dimension"), F.coalesce("value", "_v").alias("value"),
+                           F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("share", F.lit(0.0)).alias("share"))
+        out = both if out is None else out.union(both)
+    return out
+
+
+def warn_of_unmet(cells: DataFrame, targets: dict[str, DataFrame], mix: Mix) -> None:
+    """A warning with the number of shares that miss their target and the worst of them."""
+    off = F.abs(F.col("share") - F.col("target")) / F.greatest("target", F.lit(1e-12))
+    missed = marginals(cells, targets).withColumn("off", off).filter(F.col("off") > mix.report)
+    worst = missed.agg(F.count("*").alias("n"), F.max_by(F.struct("dimension", "value", "target", "share"), "off").alias("w")).first()
+    if worst.n:
+        warnings.warn(f"{worst.n} shares miss their targets; the worst is {worst.w.dimension} {worst.w.value}: "
+                      f"{worst.w.share:.4f} for {worst.w.target:.4f}", stacklevel=3)
+
+
 def mixed(docs: DataFrame, mix: Mix = Mix(), row_id: str = "doc_id", text: str = "text",
           targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """All columns of every row, and _topic, _tokens, _probability, _kept.
@@ -150,8 +186,10 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), row_id: str = "doc_id", text: str =
     rows = described(docs, row_id, text)
     cells = materialise(rows.groupBy(F.col("source"), F.col("lang"), F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("tokens")))
     wanted = {d: (targets or {}).get(d) or shares(cells, d, mix.flatten) for d in DIMENSIONS}
-    chances = materialise(calibrated(materialise(rake(cells, wanted, mix)), mix).select(
-        F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("topic").alias("_t"), F.col("probability").alias("_probability")))
+    drawn = materialise(calibrated(materialise(rake(cells, wanted, mix)), mix))
+    warn_of_unmet(drawn, wanted, mix)
+    chances = drawn.select(
+        F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("topic").alias("_t"), F.col("probability").alias("_probability"))
     joined = rows.join(chances, F.col("source").eqNullSafe(F.col("_s")) & F.col("lang").eqNullSafe(F.col("_l")) & (F.col("_topic") == F.col("_t")), "left")
     joined = joined.withColumn("_kept", F.col("_chance") < F.coalesce("_probability", F.lit(0.0)))
     return joined.drop("_s", "_l", "_t", "_chance")

@@ -98,7 +98,7 @@ def op8_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.mixed(table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"))
+    found = mixing.mixed(table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"), mixing.Mix(meet_targets=True))
     return found.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"),
                         F.col("_probability").alias("probability"), F.col("_kept").alias("kept"))
 
