@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm import compression_language, disclosure, mixing, near_copies, pieces
+from groundwork.llm import compression_language, disclosure, mixing, pieces, simhash
 from groundwork.llm.queries import PIECE_MODEL
 from groundwork.session import materialise, ship
 
@@ -24,10 +24,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id. Near are texts within the two bits
-    of op7, and those with a similarity of 0.8 or more over five-word shingles."""
+    """One document of each group of near-duplicates, the one with the smallest id. Near are fingerprints of three-word
+    shingles that differ in two bits at most."""
     ship(spark)
-    return near_copies.one_of_each(docs).select(*docs.columns)
+    return simhash.one_of_each(docs).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
