@@ -18,6 +18,7 @@ from groundwork.llm import (
     host_boilerplate,
     kd_shards,
     mixing,
+    periodic_runs,
     pieces,
     simhash,
     url_rules,
@@ -108,6 +109,37 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """Texts of a tenth of the documents, by a hash of the id, repeat a stretch of their words to the end."""
+    words = F.filter(F.split("text", "[ \\x09-\\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        places = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i >= a, a + (i - a) % p).otherwise(i).cast("int"))
+        return F.when(n > 0, F.array_join(F.transform(places, lambda i: F.get(w, i)), " ")).otherwise("")
+
+    once = F.element_at(F.transform(F.array(words), repeated), 1)
+    return docs.withColumn("text", F.when(h % 10 == 0, once).otherwise(F.col("text")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_planted_periods(table(spark, sf_dir, "documents", "doc_id", "text")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    # The greatest length first, then the smallest start, then the smallest period.
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("shorter"))))
+    found = found.withColumn("longest", longest)
+    length, period = F.col("longest.length"), -F.col("longest.shorter")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.before")).alias("start"), length.alias("length"),
+        period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -116,7 +148,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_nearest, op2_secrets, op3_language, op4_pieces, op5_personal_data, op6_url_rules, op7_simhash,
-           op8_exact_search, op9_mixing, op10_main_text, pipeline]
+           op8_exact_search, op9_mixing, op10_main_text, op12_periodic_runs, pipeline]
     return {query.__name__: query for query in own}
 
 
