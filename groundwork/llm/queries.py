@@ -22,10 +22,12 @@ from groundwork.llm import (
     pieces,
     simhash,
     url_rules,
+    word_pieces,
 )
 from groundwork.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
+WORD_VOCABULARY = "word_bpe_49k.json"
 
 
 def joined_spans(spans: Column, kinds: tuple[str, ...]) -> Column:
@@ -109,6 +111,21 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_word_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def columns(codec: word_pieces.Codec, ids, texts):
+        sizes, digests, decoded = [], [], []
+        for text in texts:
+            encoded = codec.encode(text.as_py())
+            sizes.append(len(encoded))
+            digests.append(hashlib.sha256(" ".join(map(str, encoded)).encode()).hexdigest())
+            decoded.append(hashlib.sha256(codec.decode(encoded).encode()).hexdigest())
+        return {"doc_id": ids, "n_tokens": pa.array(sizes, pa.int64()), "ids_sha256": pa.array(digests, pa.string()),
+                "decoded_sha256": pa.array(decoded, pa.string())}
+
+    return word_pieces.mapped(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(WORD_VOCABULARY),
+                              "doc_id", "text", "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", columns)
+
+
 def with_planted_periods(docs: DataFrame) -> DataFrame:
     """Texts of a tenth of the documents, by a hash of the id, repeat a stretch of their words to the end."""
     words = F.filter(F.split("text", "[ \\x09-\\x0D]+"), lambda w: w != "")
@@ -148,7 +165,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_nearest, op2_secrets, op3_language, op4_pieces, op5_personal_data, op6_url_rules, op7_simhash,
-           op8_exact_search, op9_mixing, op10_main_text, op12_periodic_runs, pipeline]
+           op8_exact_search, op9_mixing, op10_main_text, op11_word_pieces, op12_periodic_runs, pipeline]
     return {query.__name__: query for query in own}
 
 
