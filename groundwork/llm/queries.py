@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from groundwork.llm import (
     compression_language,
+    conversations,
     cross_polytope,
     disclosure,
     grammar_secrets,
@@ -157,6 +158,27 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults: by a hash of a row's place it is dropped, emptied, cut off its stops, repeated or a user's."""
+    rows = conversations.prepared(rows)
+    place = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    rows = rows.withColumn("h", F.crc32(F.concat_ws(":", *place)) % 20).filter("h <> 0")
+    text = F.when(F.col("h") == 1, "").when(F.col("h") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("h") == 4, "user").otherwise(F.col("role"))
+    copies = F.array_repeat(F.lit(0), F.when(F.col("h") == 3, 2).otherwise(1))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(copies)).drop("col")
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    every = rows.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    found = conversations.repair(damaged(rows)).withColumnRenamed("conv_id", "c")
+    joined = every.join(found, F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c")
+    figures = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return joined.select("conv_id", *figures, F.coalesce("audit", F.lit("")).alias("audit"),
+                         F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -165,7 +187,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_nearest, op2_secrets, op3_language, op4_pieces, op5_personal_data, op6_url_rules, op7_simhash,
-           op8_exact_search, op9_mixing, op10_main_text, op11_word_pieces, op12_periodic_runs, pipeline]
+           op8_exact_search, op9_mixing, op10_main_text, op11_word_pieces, op12_periodic_runs, op13_conversations, pipeline]
     return {query.__name__: query for query in own}
 
 
