@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from groundwork.functions.text import STOP_WORDS
 from groundwork.operators.grounding import NO_RECORD, NO_TICKETS, STILL_OPEN, SYSTEM_SHORT
-from groundwork.operators.cells import LEAST_CELLS
-from groundwork.plans.registry import LONE_QUESTION, N_PROBES, NARROW, STORED_THRESHOLD
+from groundwork.operators.cells import (
+    ANY_ANGLE, FIRST_ROWS, LEAST_CELLS, LEAST_COARSE, REACHED, SAMPLE, SLACK, WHOLE_RADIUS,
+)
+from groundwork.plans.registry import LONE_QUESTION, NARROW, STORED_THRESHOLD
 from groundwork.schema import (
     AGGREGATE_POOL, ANSWER_POOL, CITATION_PATTERN, FUSION_CONSTANT, FUSION_DEPTH, GRAPH_SEEDS, SEVERITY_ORDER,
     SIMILAR_MAX_DISTANCE, SIMILAR_PER_TICKET, TICKET_COLUMNS, TICKET_SCHEMA, TOP_K, URGENT,
@@ -280,23 +282,63 @@ def _scoped_pairs() -> dict[str, str]:
     }
 
 
-def _celled(probes: str) -> dict[str, str]:
-    """Tickets in the cell of their nearest centre; pairs of a question and the tickets of its `probes` cells."""
-    def by_cell(rows: str, key: str, vector: str) -> str:
-        raw = f"list_cosine_distance(x.{vector}::DOUBLE[], c.centre::DOUBLE[])"
-        return (f"SELECT {key}, cell, row_number() OVER (PARTITION BY {key} ORDER BY CASE WHEN raw IS NULL OR isnan(raw) THEN 9 ELSE {_six('raw')} END, cell) AS place "
-                f"FROM (SELECT x.{key}, c.cell, {raw} AS raw FROM {rows} x, centres c)")
+def _steps(cosine: str) -> str:
+    return f"cast(floor(acos(greatest(-1.0, least(1.0, {cosine}))) * 1e6 + 0.5) AS bigint)"
+
+
+def _angle(a: str, b: str) -> str:
+    return _steps(f"list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[])")
+
+
+def _celled() -> dict[str, str]:
+    """Tickets in the cell of their nearest centre within the group of their nearest coarse centre, the share of a radius
+    that reaches the neighbours of drawn tickets, and the pairs of a question and the tickets of the cells in its reach."""
+    k = TOP_K
+
+    def grouped(rows: str, key: str, vector: str) -> str:
+        return (f"SELECT {key}, part FROM (SELECT {key}, part, row_number() OVER (PARTITION BY {key} ORDER BY steps, part) AS r FROM "
+                f"(SELECT x.{key}, c.cell AS part, {_angle('x.' + vector, 'c.centre')} AS steps FROM {rows} x, coarse c)) WHERE r = 1")
+
+    def routed(name: str, rows: str, pairs: str) -> dict[str, str]:
+        """The reach of each question, and its cells: the first ones (f) and those within reach for a share."""
+        return {
+            f"{name}_angles": f"SELECT x.question_id, c.cell, c.n, c.radius, {_angle('x.q_vector', 'c.centre')} AS steps FROM {rows} x, cells c "
+                              "WHERE len(list_filter(x.q_vector, lambda v: v <> 0)) > 0",
+            f"{name}_cells": f"SELECT *, sum(n) OVER (PARTITION BY question_id ORDER BY steps, cell) - n < {FIRST_ROWS * k} AS f FROM {name}_angles",
+            f"{name}_met": f"SELECT p.question_id, p.distance, row_number() OVER (PARTITION BY p.question_id ORDER BY p.distance, p.ticket_id) AS r "
+                           f"FROM {pairs} p JOIN placed USING (ticket_id) JOIN {name}_cells c ON c.question_id = p.question_id AND c.cell = placed.cell WHERE c.f",
+            f"{name}_reach": f"SELECT question_id, coalesce(max({_steps('1.0 - distance - 1e-6')}) FILTER (r = {k}) + {SLACK}, {ANY_ANGLE}) AS reach "
+                             f"FROM {rows} LEFT JOIN {name}_met USING (question_id) GROUP BY 1",
+        }
 
     return near("vector") | {
-        "how_many": f"SELECT greatest({LEAST_CELLS}, floor(sqrt(count(*)))) AS n FROM corpus",
-        "drawn": "SELECT embedding AS centre, row_number() OVER (ORDER BY md5(ticket_id), ticket_id) - 1 AS cell FROM corpus "
+        "drawn": "SELECT ticket_id, embedding, row_number() OVER (ORDER BY md5(ticket_id), ticket_id) - 1 AS place FROM corpus "
                  "WHERE len(list_filter(embedding, lambda x: x <> 0)) > 0",
-        "centres": "SELECT drawn.* FROM drawn, how_many WHERE cell < n",
-        "placed": f"SELECT ticket_id, cell FROM ({by_cell('corpus', 'ticket_id', 'embedding')}) WHERE place = 1",
-        "probed": f"SELECT question_id, cell FROM ({by_cell('asked', 'question_id', 'q_vector')}) WHERE place <= {probes}",
+        "how_many": f"SELECT greatest({LEAST_CELLS}, 2 * floor(sqrt(count(*)))) AS n FROM drawn",
+        "centres": "SELECT embedding AS centre, min(place) AS cell FROM drawn, how_many WHERE place < n GROUP BY embedding",
+        "coarse": f"SELECT centre, cell FROM (SELECT *, row_number() OVER (ORDER BY cell) AS r FROM centres) "
+                  f"WHERE r <= (SELECT greatest({LEAST_COARSE}, floor(sqrt(count(*)))) FROM centres)",
+        "fine": f"SELECT c.cell, c.centre, CASE WHEN c.cell IN (SELECT cell FROM coarse) THEN c.cell ELSE g.part END AS part "
+                f"FROM centres c JOIN ({grouped('centres', 'cell', 'centre')}) g USING (cell)",
+        "placed": "SELECT ticket_id, cell, steps FROM (SELECT *, row_number() OVER (PARTITION BY ticket_id ORDER BY steps, cell) AS r FROM "
+                  f"(SELECT d.ticket_id, f.cell, {_angle('d.embedding', 'f.centre')} AS steps FROM drawn d "
+                  f"JOIN ({grouped('drawn', 'ticket_id', 'embedding')}) g USING (ticket_id) JOIN fine f ON f.part = g.part)) WHERE r = 1",
+        "cells": "SELECT p.cell, any_value(c.centre) AS centre, count(*) AS n, max(p.steps) AS radius FROM placed p JOIN centres c USING (cell) GROUP BY 1",
+        "asking": f"SELECT ticket_id AS question_id, embedding AS q_vector FROM drawn, how_many WHERE place >= n AND place < n + {SAMPLE}",
+        "asking_pairs": f"SELECT question_id, ticket_id, {_six('raw')} AS distance FROM (SELECT a.question_id, d.ticket_id, "
+                        "list_cosine_distance(d.embedding::DOUBLE[], a.q_vector::DOUBLE[]) AS raw FROM drawn d, asking a WHERE d.ticket_id <> a.question_id)",
+        **routed("asking", "asking", "asking_pairs"),
+        "neighbours": f"SELECT question_id, cell FROM ({_ranked('asking_pairs', 'distance, ticket_id')}) JOIN placed USING (ticket_id) WHERE rank <= {k}",
+        "needed": "SELECT CASE WHEN c.f OR c.radius = 0 THEN 0 ELSE ceil((c.steps - r.reach) * 1000 / greatest(c.radius, 1)) END AS x "
+                  "FROM neighbours t JOIN asking_cells c USING (question_id, cell) JOIN asking_reach r USING (question_id)",
+        "learned": f"SELECT coalesce((SELECT least({WHOLE_RADIUS}, greatest(0, x)) FROM (SELECT x, row_number() OVER (ORDER BY x) AS r, count(*) OVER () AS n FROM needed) "
+                   f"WHERE r = ceil({REACHED} * n / 1000.0)), {WHOLE_RADIUS}) AS share",
+        **routed("asked", "asked", "pairs"),
+        "probed": "SELECT question_id, cell FROM asked_cells JOIN asked_reach USING (question_id), learned "
+                  "WHERE f OR steps * 1000 - share * radius <= reach * 1000",
         "reached": "SELECT p.question_id, p.ticket_id, p.distance FROM pairs p JOIN placed USING (ticket_id) JOIN probed b ON b.question_id = p.question_id AND b.cell = placed.cell",
         "approximate": _ranked("reached", "distance, ticket_id"),
-        "scanned": "SELECT question_id, count(*) AS candidates FROM probed JOIN placed USING (cell) GROUP BY 1",
+        "scanned": "SELECT question_id, sum(n)::BIGINT AS candidates FROM probed JOIN cells USING (cell) GROUP BY 1",
     }
 
 
@@ -407,9 +449,9 @@ def _oracle_sql() -> dict[str, str]:
         "v3_filtered_search": _sql(_scoped_pairs(), f"SELECT question_id, rank, distance, {T_COLUMNS} FROM near JOIN tickets t USING (ticket_id) WHERE {top}"),
         "v4_plain_english": _sql(near("plain"), f"SELECT question_id, rank, {_exact('raw', 4)} AS distance, {T_COLUMNS} FROM near JOIN tickets t USING (ticket_id) WHERE {top}"),
         "v5_batch_topk": _sql(near("vector"), f"SELECT question_id, rank, distance, {T_COLUMNS} FROM near JOIN tickets t USING (ticket_id) WHERE {top}"),
-        "v6_approximate": _sql(_celled(str(N_PROBES)), f"SELECT question_id, rank, distance, ticket_id FROM approximate WHERE {top}"),
+        "v6_approximate": _sql(_celled(), f"SELECT question_id, rank, distance, ticket_id FROM approximate WHERE {top}"),
         "v6_every_cell": _sql(near("vector"), f"SELECT question_id, rank, distance, ticket_id FROM near WHERE {top}"),
-        "v7_access_report": _sql(_celled(str(N_PROBES)), f"SELECT n.question_id, {TOP_K}::INT AS k, count(a.ticket_id) AS overlap, round(count(a.ticket_id)::DOUBLE / count(*), 6) AS recall, "
+        "v7_access_report": _sql(_celled(), f"SELECT n.question_id, {TOP_K}::INT AS k, count(a.ticket_id) AS overlap, round(count(a.ticket_id)::DOUBLE / count(*), 6) AS recall, "
                                                          f"any_value(s.candidates) AS candidates FROM near n LEFT JOIN (SELECT * FROM approximate WHERE {top}) a USING (question_id, ticket_id) "
                                                          f"JOIN scanned s ON s.question_id = n.question_id WHERE n.rank <= {TOP_K} GROUP BY 1"),
         "v8_width_report": _sql(width, f"SELECT n.question_id, {TOP_K}::INT AS k, count(s.ticket_id) AS overlap, round(count(s.ticket_id)::DOUBLE / count(*), 6) AS recall "

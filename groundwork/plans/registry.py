@@ -20,9 +20,6 @@ from groundwork.sources.tickets import clean_values, read_raw, read_store, read_
 
 STORED_THRESHOLD = 0.65
 NARROW = given.DIMS // 2
-N_PROBES = 4
-# More than there are cells: all of them.
-ALL_PROBES = 1 << 30
 # Codes whose first vectors are broadcast.
 MAX_CODES = 10_000
 LONE_QUESTION = given.CATALOGUE["vector"][0]
@@ -330,26 +327,24 @@ def v5_batch_topk(g: Setting) -> DataFrame:
     return nearest.search(g.tickets, g.corpus, g.asked("vector"))
 
 
-def _celled(g: Setting, probes: int) -> tuple[DataFrame, DataFrame]:
-    """The corpus stored by cell, and the questions with the cells they probe."""
-    corpus = materialise(g.corpus.select("ticket_id", "embedding"))
-    centres = cells.pick_cells(corpus, cells.cells_for(corpus.count()))
+def _celled(g: Setting) -> cells.Cells:
+    """The corpus stored by cell."""
     path = g.new_path("cells")
-    cells.store_cells(cells.in_cells(corpus, centres), path)
-    return g.spark.read.parquet(path), cells.with_probes(g.asked("vector"), centres, probes)
+    cells.build_cells(materialise(g.corpus.select("ticket_id", "embedding")), path)
+    return cells.open_cells(g.spark, path)
 
 
 def v6_approximate(g: Setting) -> DataFrame:
-    return cells.approximate_nearest(*_celled(g, N_PROBES))
+    return cells.approximate_nearest(_celled(g), g.asked("vector"))
 
 
 def v6_every_cell(g: Setting) -> DataFrame:
-    """With all cells probed the search is exact."""
-    return cells.approximate_nearest(*_celled(g, ALL_PROBES))
+    """With the whole radius of every cell the search is exact."""
+    return cells.approximate_nearest(_celled(g).exact(), g.asked("vector"))
 
 
 def v7_access_report(g: Setting) -> DataFrame:
-    return cells.access_report(*_celled(g, N_PROBES))
+    return cells.access_report(_celled(g), g.asked("vector"))
 
 
 def v8_width_report(g: Setting) -> DataFrame:

@@ -185,29 +185,6 @@ def test_hybrid_finds_code_and_symptom(spark):
     assert all(0 < s <= round(2 / 61, 5) for s in scores)
 
 
-def test_recall_rises_with_cells_and_is_exact_with_all(spark, tmp_path):
-    rng = np.random.default_rng(11)
-    corpus = spark.createDataFrame([(f"INC-2026-{i:05d}", v.tolist()) for i, v in enumerate(rng.normal(size=(240, 6)))],
-                                   "ticket_id string, embedding array<float>").cache()
-    asked = questions(spark, *[(f"q{i}", "", v.tolist()) for i, v in enumerate(rng.normal(size=(6, 6)))])
-    centres = cells.fit_cells(corpus, 6)
-    celled = cells.in_cells(corpus, centres)
-    recall, scanned = [], []
-    for probes in (1, 3, 6):
-        report = cells.access_report(celled, cells.with_probes(asked, centres, probes)).collect()
-        recall.append(sum(r["recall"] for r in report))
-        scanned.append(sum(r["candidates"] for r in report))
-    assert recall == sorted(recall) and recall[-1] == 6.0
-    assert scanned == sorted(scanned) and scanned[-1] == 6 * 240
-
-    path = str(tmp_path / "cells")
-    cells.store_cells(celled, path)
-    probes = cells.with_probes(asked, centres, 1)
-    stored = cells.approximate_nearest(spark.read.parquet(path), probes)
-    assert "PartitionFilters: [cell" in stored._jdf.queryExecution().toString()
-    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, cells.approximate_nearest(celled, probes).collect()))
-
-
 def test_bucketed_postings_need_no_shuffle(spark):
     postings = keyword.build_postings(tickets(spark))
     keyword.store_postings(postings, "postings_by_ticket", 4)
@@ -258,15 +235,6 @@ def test_bm25_beyond_the_matrix_bound_is_the_same(spark, monkeypatch):
     assert few and sorted(map(tuple, keyword.bm25(rows, asked).collect())) == few
 
 
-def test_picked_cells_are_vectors_of_the_corpus_and_bounded_by_bytes(spark, monkeypatch):
-    corpus = spark.createDataFrame([(f"t{i}", [float(i), 1.0]) for i in range(1, 9)] + [("zero", [0.0, 0.0])], "ticket_id string, embedding array<float>")
-    centres = cells.pick_cells(corpus, 5)
-    assert centres.shape == (5, 2) and np.allclose(np.linalg.norm(centres, axis=1), 1.0)
-    monkeypatch.setattr(cells, "MAX_CENTRE_BYTES", 8)
-    with pytest.raises(ValueError):
-        cells.pick_cells(corpus, 5)
-
-
 @pytest.fixture(scope="module")
 def stored_index(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("index") / "keyword")
