@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from groundwork.functions import numbers, text, vectors
 from groundwork.functions.embedding import embed, hashed_terms
-from groundwork.operators import analytics, cells, expectations, fusion, graph, grounding, index, keyword, nearest, similarity
+from groundwork.operators import analytics, cells, expectations, fusion, graph, grounding, impact, index, keyword, nearest, similarity
 from groundwork.schema import ANSWER_POOL, FUSION_DEPTH, TICKET_COLUMNS, TICKET_SCHEMA
 from groundwork.session import materialise, shared_folder, ship
 from groundwork.sizing import held
@@ -290,8 +290,15 @@ def k4_indexed_match_all(g: Setting) -> DataFrame:
     return index.match_all(_indexed(g), g.questions("hybrid"))
 
 
+def _blocks(g: Setting) -> impact.Blocks:
+    path = g.new_path("index")
+    index.build_index(g.searchable, path)
+    impact.build_blocks(index.open_index(g.spark, path), path)
+    return impact.open_blocks(g.spark, path)
+
+
 def k6_indexed_bm25(g: Setting) -> DataFrame:
-    return index.best_bm25(_indexed(g), g.questions("hybrid"))
+    return impact.best_bm25(_blocks(g), g.questions("hybrid"))
 
 
 def k7_indexed_cover_density(g: Setting) -> DataFrame:
@@ -359,6 +366,16 @@ def h2_hybrid_by_hand(g: Setting) -> DataFrame:
     return fusion.hybrid_by_hand(g.searchable, g.corpus, g.asked("hybrid"))
 
 
+def h1_indexed_hybrid(g: Setting) -> DataFrame:
+    corpus = materialise(g.corpus.select("ticket_id", "embedding"))
+    return fusion.hybrid_indexed(_blocks(g), g.whole, corpus, g.asked("hybrid"))
+
+
+def h2_indexed_by_hand(g: Setting) -> DataFrame:
+    corpus = materialise(g.corpus.select("ticket_id", "embedding"))
+    return fusion.by_hand_indexed(_indexed(g), g.whole, corpus, g.asked("hybrid"))
+
+
 def h3_candidates(g: Setting) -> DataFrame:
     asked = g.asked("hybrid")
     semantic = nearest.nearest(g.corpus, asked, FUSION_DEPTH).select("question_id", "ticket_id", "rank", F.lit("semantic").alias("side"))
@@ -551,7 +568,7 @@ _QUERIES = [
     k8_vocabulary,
     v1_cosine_distance, v2_vector_search, v3_filtered_search, v4_plain_english, v5_batch_topk, v6_approximate,
     v6_every_cell, v7_access_report, v8_width_report,
-    h1_hybrid_search, h2_hybrid_by_hand, h3_candidates, h4_rank_only,
+    h1_hybrid_search, h1_indexed_hybrid, h2_hybrid_by_hand, h2_indexed_by_hand, h3_candidates, h4_rank_only,
     a1_total, a2_count_by_domain, a3_distinct, a4_facets, a5_semantic_aggregate, a6_urgent, a7_average_hours,
     a8_text_aggregate, a9_frequency, a10_graph_counts, a11_composition, t2_first_ticket,
     g1_nodes, g2_ticket_nodes, g3_declared_edges, g4_similar_to, g4_similar_stored_vectors, g5_walk_by_code,
