@@ -15,7 +15,7 @@ from groundwork.operators import analytics, cells, expectations, fusion, graph,
 from groundwork.schema import ANSWER_POOL, FUSION_DEPTH, TICKET_COLUMNS, TICKET_SCHEMA
 from groundwork.session import materialise, shared_folder, ship
 from groundwork.sizing import held
-from groundwork.sources import given, merge
+from groundwork.sources import given, versions
 from groundwork.sources.tickets import clean_values, read_raw, read_store, read_tickets, store, to_ticket, write_csv
 
 STORED_THRESHOLD = 0.65
@@ -201,12 +201,27 @@ def _merged(rows: DataFrame) -> DataFrame:
     return rows.select("vec_id", "label", vectors.to_text("embedding").alias("vector_text"))
 
 
+def _table(g: Setting, target: DataFrame) -> versions.Versions:
+    return versions.create(target, g.new_path("versions"), "vec_id", "embedding", parts=16)
+
+
 def s11_upsert_replace(g: Setting) -> DataFrame:
-    return _merged(merge.upsert_replace(*_target_and_batch(g), key="vec_id"))
+    """Half of the batch, compacted, then the other half: base parts and change files are read together."""
+    target, batch = _target_and_batch(g)
+    table = _table(g, target)
+    table.upsert_replace(batch.filter("vec_id % 4 = 0"))
+    table.compact()
+    table.upsert_replace(batch.filter("vec_id % 4 <> 0"))
+    return _merged(table.read())
 
 
 def s12_upsert_embedding(g: Setting) -> DataFrame:
-    return _merged(merge.upsert_embedding(*_target_and_batch(g), key="vec_id"))
+    target, batch = _target_and_batch(g)
+    table = _table(g, target)
+    table.upsert_column(batch.filter("vec_id % 4 = 0"))
+    table.compact()
+    table.upsert_column(batch.filter("vec_id % 4 <> 0"))
+    return _merged(table.read())
 
 
 def s15_postings(g: Setting) -> DataFrame:
