@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator, Sequence
 
@@ -9,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groundwork.functions.calls import Limits, with_answers
 from groundwork.operators.keyword import keyword_hits
 from groundwork.operators.nearest import nearest, with_ticket
 from groundwork.schema import ANSWER_POOL, CITATION_PATTERN, TICKET_COLUMNS
@@ -117,6 +119,18 @@ def generate(prompted: DataFrame, model: Model = extractive, batch: int = 64) ->
     return prompted.withColumn("answer", answers("system", "prompt"))
 
 
+def generate_once(prompted: DataFrame, path: str, model: Model = extractive, limits: Limits = Limits()) -> DataFrame:
+    """The same with a ledger at `path`: within the limits of a model, and never asking twice for an answer that is there.
+
+    Prompts with equal instruction and text are one call. `answer` is null where the model failed at every try.
+    """
+    def call(texts: Sequence[str]) -> Sequence[str]:
+        return model([tuple(json.loads(t)) for t in texts])
+
+    asked = prompted.withColumn("_call", F.to_json(F.array("system", "prompt")))
+    return with_answers(asked, "_call", call, path, limits=limits).drop("_call")
+
+
 def citations(answers: DataFrame, *keys: str) -> DataFrame:
     """Each cited id once, in the order of first mention: keys, position, ticket_id."""
     found = F.array_distinct(F.regexp_extract_all("answer", F.lit(f"({CITATION_PATTERN})"), F.lit(1)))

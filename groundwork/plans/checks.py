@@ -378,7 +378,7 @@ def _sql(ctes: dict[str, str], final: str) -> str:
 # Searches over a stored index, and those over the texts with which they agree.
 INDEXED = {"k1_indexed_search": "k1_keyword_search", "k3_indexed_counts": "k3_term_counts", "k4_indexed_match_all": "k4_match_all",
            "k6_indexed_bm25": "k6_bm25", "k7_indexed_cover_density": "k7_cover_density",
-           "h1_indexed_hybrid": "h1_hybrid_search", "h2_indexed_by_hand": "h2_hybrid_by_hand"}
+           "h1_indexed_hybrid": "h1_hybrid_search", "h2_indexed_by_hand": "h2_hybrid_by_hand", "r4_answers_once": "r4_answers"}
 
 
 def oracle_sql() -> dict[str, str]:
