@@ -305,7 +305,8 @@ def k4_indexed_match_all(g: Setting) -> DataFrame:
     return index.match_all(_indexed(g), g.questions("hybrid"))
 
 
-def _blocks(g: Setting) -> impact.Blocks:
+def keyword_blocks(g: Setting) -> impact.Blocks:
+    """The keyword index with its blocks, built and opened."""
     path = g.new_path("index")
     index.build_index(g.searchable, path)
     impact.build_blocks(index.open_index(g.spark, path), path)
@@ -313,7 +314,7 @@ def _blocks(g: Setting) -> impact.Blocks:
 
 
 def k6_indexed_bm25(g: Setting) -> DataFrame:
-    return impact.best_bm25(_blocks(g), g.questions("hybrid"))
+    return impact.best_bm25(keyword_blocks(g), g.questions("hybrid"))
 
 
 def k7_indexed_cover_density(g: Setting) -> DataFrame:
@@ -349,24 +350,24 @@ def v5_batch_topk(g: Setting) -> DataFrame:
     return nearest.search(g.tickets, g.corpus, g.asked("vector"))
 
 
-def _celled(g: Setting) -> cells.Cells:
+def stored_cells(g: Setting, corpus: DataFrame | None = None) -> cells.Cells:
     """The corpus stored by cell."""
     path = g.new_path("cells")
-    cells.build_cells(materialise(g.corpus.select("ticket_id", "embedding")), path)
+    cells.build_cells(materialise(g.corpus.select("ticket_id", "embedding")) if corpus is None else corpus, path)
     return cells.open_cells(g.spark, path)
 
 
 def v6_approximate(g: Setting) -> DataFrame:
-    return cells.approximate_nearest(_celled(g), g.asked("vector"))
+    return cells.approximate_nearest(stored_cells(g), g.asked("vector"))
 
 
 def v6_every_cell(g: Setting) -> DataFrame:
     """With the whole radius of every cell the search is exact."""
-    return cells.approximate_nearest(_celled(g).exact(), g.asked("vector"))
+    return cells.approximate_nearest(stored_cells(g).exact(), g.asked("vector"))
 
 
 def v7_access_report(g: Setting) -> DataFrame:
-    return cells.access_report(_celled(g), g.asked("vector"))
+    return cells.access_report(stored_cells(g), g.asked("vector"))
 
 
 def v8_width_report(g: Setting) -> DataFrame:
@@ -383,7 +384,7 @@ def h2_hybrid_by_hand(g: Setting) -> DataFrame:
 
 def h1_indexed_hybrid(g: Setting) -> DataFrame:
     corpus = materialise(g.corpus.select("ticket_id", "embedding"))
-    return fusion.hybrid_indexed(_blocks(g), g.whole, corpus, g.asked("hybrid"))
+    return fusion.hybrid_indexed(keyword_blocks(g), g.whole, corpus, g.asked("hybrid"))
 
 
 def h2_indexed_by_hand(g: Setting) -> DataFrame:
