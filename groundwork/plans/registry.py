@@ -104,9 +104,13 @@ def web_queries(questions: DataFrame) -> DataFrame:
 
 
 def _values(rows: DataFrame, vector: str, *keys: str) -> DataFrame:
-    """A vector as one row for each place."""
-    return rows.select(*keys, F.posexplode(vector).alias("dim", "value")).withColumn(
-        "value", F.round(F.col("value").cast("double"), 6))
+    """A vector as one row for each place.
+
+    The outer form: for the other one Spark adds a filter on the size of the vector and pushes it down to the scan, so
+    an embedder would run twice. An empty vector's row without a place is dropped after it.
+    """
+    placed = rows.select(*keys, F.posexplode_outer(vector).alias("dim", "value")).filter(F.col("dim").isNotNull())
+    return placed.withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
 def _csv(g: Setting) -> str:
@@ -175,7 +179,8 @@ def s7_hashed_embedding(g: Setting) -> DataFrame:
 
 def s8_embed_questions(g: Setting) -> DataFrame:
     shown = g.asked("vector").select("question_id", F.size("q_vector").alias("dims"), vectors.preview("q_vector").alias("first"))
-    return shown.select("question_id", "dims", F.posexplode("first").alias("dim", "value"))
+    return (shown.select("question_id", "dims", F.posexplode_outer("first").alias("dim", "value"))
+            .filter(F.col("dim").isNotNull()))
 
 
 def s9_truncate(g: Setting) -> DataFrame:
