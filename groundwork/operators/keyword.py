@@ -33,14 +33,19 @@ MAX_MATRIX = 8_000_000
 PAIR_BATCH = 100_000
 
 
+def _text() -> Column:
+    """A ticket without a search text has no words, as in the index."""
+    return F.coalesce("search_text", F.lit(""))
+
+
 def raw_words(tickets: DataFrame) -> DataFrame:
     """(ticket_id, words, body): lower-cased tokens of the search text, and the same as one string."""
-    return tickets.select("ticket_id", tokens("search_text").alias("words")).withColumn("body", padded("words"))
+    return tickets.select("ticket_id", tokens(_text()).alias("words")).withColumn("body", padded("words"))
 
 
 def normalised_words(tickets: DataFrame) -> DataFrame:
     """The same with stems for tokens and stop words left empty."""
-    words = normal_words(tokens("search_text")).alias("words")
+    words = normal_words(tokens(_text())).alias("words")
     return tickets.select("ticket_id", words).withColumn("body", padded("words"))
 
 
@@ -197,7 +202,7 @@ def web_matches(tickets: DataFrame, queries: DataFrame) -> DataFrame:
 
 def _collection(tickets: DataFrame) -> tuple[Column, Column]:
     """Number of tickets and mean length in tokens, as scalar subqueries."""
-    lengths = tickets.select(F.size(tokens("search_text")).alias("doc_len"))
+    lengths = tickets.select(F.size(tokens(_text())).alias("doc_len"))
     return lengths.agg(F.count("*").cast("double")).scalar(), lengths.agg(F.avg("doc_len")).scalar()
 
 
