@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from groundwork.functions.numbers import six_places
 from groundwork.functions.vectors import shorten
 from groundwork.operators.blocks import BLOCK_ROWS, cell_counts, join_blocks
-from groundwork.operators.nearest import HITS, MAX_QUESTIONS, Best, matrix, nearest, unit
+from groundwork.operators.nearest import HITS, MAX_QUESTIONS, Best, in_pieces, matrix, nearest, unit
 from groundwork.operators.ranking import first_of_each
 from groundwork.schema import TOP_K
 from groundwork.session import materialise
@@ -266,7 +266,7 @@ class _Asked:
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = Best(len(names), k)
-            for batch in batches:
+            for batch in in_pieces(batches):
                 cell = batch.column("cell").to_numpy()
                 cuts = np.flatnonzero(np.diff(cell)) + 1
                 for start, end in zip([0, *cuts], [*cuts, len(cell)]):
