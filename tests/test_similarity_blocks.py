@@ -29,3 +29,11 @@ def test_tiles_of_a_block_equal_brute_force(monkeypatch):
     got = similarity._near_in_block(0.35, 2)(left, right).to_pylist()
     assert {(r["source"], r["dst"]) for r in got} == want and len(got) == len(want)
     assert similarity._near_in_block(0.35, 2)(left, right.slice(0, 0)).num_rows == 0
+
+
+def test_cells_of_common_size_are_not_cut():
+    for rows in (100_000, 500_000, 1_500_000):
+        cells = int(np.sqrt(rows) / 4)
+        counts = np.full(cells, rows // cells)
+        assert (counts <= similarity._cell_block_rows(counts, similarity._block_rows(rows))).all()
+    assert similarity._cell_block_rows(np.array([10, 0, 20]), 4000) == similarity.BLOCK_ROWS
