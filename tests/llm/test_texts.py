@@ -226,3 +226,42 @@ def test_learned_formats_find_bare_credentials_and_leave_words():
 def test_merging_generalises_a_repeated_format():
     automaton = grammar_secrets.Automaton(["ab12" * n for n in range(1, 6) for _ in range(320 >> n)])
     assert automaton.states < 15 and automaton.score("ab12ab12") > automaton.score("12abzz--")
+
+
+def scanned(spark, credentials, ordinary):
+    """What `scan` gives, with the values themselves."""
+    rows = [(i, [(kind, 0, len(v), v)], []) for kind, values in credentials.items() for i, v in enumerate(values)]
+    rows += [(i, [], [(0, len(v), v)]) for i, v in enumerate(ordinary)]
+    return spark.createDataFrame(rows, f"doc_id long, {grammar_secrets.FOUND}")
+
+
+def test_formats_are_learned_from_all_values(spark):
+    """A format of which no value has one of the smallest hashes is learned too, and every value counts, whole."""
+    rng = np.random.default_rng(4)
+    values = ["".join(rng.choice(list("abcdefghijklmnop0123456789"), 70)) for _ in range(300)]
+    rare = [f"zz-{i:04d}-{i:04d}-{i:04d}" for i in range(120)]
+    ordinary = [f"chapter-{a}-of-{b}-pages" for a in range(20) for b in range(20)]
+    found = scanned(spark, {0: values + rare, 1: ["AKIA" + "ABCD1234" * 2]}, ordinary)
+    for evidence in (1000, 40):
+        bounds = grammar_secrets.Bounds(evidence=evidence)
+        formats = grammar_secrets.learned(found, bounds)
+        assert [a.reached[0] >= n for a, n in zip([*formats.credentials, formats.ordinary], (420, 1, 400))] == [True] * 3
+        for automaton, own in zip([*formats.credentials, formats.ordinary], (values + rare, ["AKIA" + "ABCD1234" * 2], ordinary)):
+            steps = sum(sum(counts.values()) for counts in automaton.counts)
+            assert steps == sum(len(v) + 1 for v in own)
+        scores = sorted((formats.score(v) for v in [*values, *rare, "AKIA" + "ABCD1234" * 2]), reverse=True)
+        assert formats.threshold == max(scores[int(0.9 * 421)], 0.0, *(formats.score(v) for v in ordinary))
+        assert formats.score("zz-0007-0311-0925") > formats.score("zz0007.0311.0925q")
+    kept = grammar_secrets.frequent_prefixes(grammar_secrets.labelled_values(found), {0: 420, 1: 1, 5: 400}, grammar_secrets.Bounds(evidence=40))[0]
+    words = [v.translate(grammar_secrets.CLASSES) for v in values + rare]
+    assert all(n >= 11 and n == sum(w.startswith(p) for w in words) for p, n, _ in kept) and ("ll-dddd-dddd-dddd", 120) in [k[:2] for k in kept]
+    assert grammar_secrets.learned(scanned(spark, {}, ordinary)) is None
+
+
+def test_places_in_falling_order(spark, monkeypatch):
+    monkeypatch.setattr(grammar_secrets, "CELLS", 5)
+    rng = np.random.default_rng(8)
+    scores = [*rng.normal(size=200).tolist(), *[0.25] * 40, 1e-300, -1e9]
+    df = spark.createDataFrame([(x,) for x in scores], "score double")
+    for n in (0, 1, 100, 130, 240, 241):
+        assert grammar_secrets.nth_largest(df, n) == sorted(scores, reverse=True)[n]
