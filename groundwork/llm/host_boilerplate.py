@@ -1,20 +1,24 @@
 """Main text of pages: repeated runs of a host, found with a suffix array, are boilerplate.
 
 A page is cut into blocks by its markup. Elements that are never part of an article (menus, footers,
-forms, scripts and so on) are left out. Where a page marks its article, the article is its main text,
-and repeats inside it stay: articles are copied, too. Where it does not, the page is compared with all
-others of its host: token streams are concatenated, suffixes are sorted by prefix doubling, and blocks
-mostly covered by runs of at least `Runs.length` tokens that also occur on other pages are removed.
+forms, scripts and so on) are left out. Every page is then compared with all others of its host: the
+token streams of what lies outside marked articles are concatenated, suffixes are sorted by prefix
+doubling, and runs of at least `Runs.length` tokens that occur on other pages too are boilerplate of the
+host. Blocks mostly covered by such runs are removed, from pages without a mark and from marked articles.
 
-Streams of equal content count once. A host of any size is cut into groups of bounded size; the runs of
-all groups are summed by host before any is judged, so no repeat across groups is lost.
+Repeats inside articles alone are no boilerplate: articles are copied, too. And an article may be quoted
+outside, by a teaser or a comment. So in marked articles a run counts only if `Runs.pages` streams outside
+of articles and as many different articles of the host have it.
+
+Streams and articles of equal content count once. A host of any size is cut into groups of bounded size; the
+runs of all groups are summed by host before any is judged, so no repeat across groups is lost.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +30,8 @@ from pyspark.sql import functions as F
 from groundwork.session import materialise
 
 GROUP_STREAMS = 256
+# Runs of all hosts, 8 bytes each, that are sent to every task to leave out windows that are in none.
+MAX_SENT_RUNS = 1_000_000
 OUT, OPEN, MAIN, ARTICLE = 0, 1, 2, 3
 
 TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:(?:[^>"']++|"[^"]*"|'[^']*')*+(?=>|\Z)|[^>]*))(?:>|\Z))""", re.S)
@@ -160,15 +166,23 @@ def host_of(url: str | None) -> str:
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in own)
 
 
+def article_id(text: str) -> int:
+    """The same for articles with the same text."""
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
 def texts_of_marked(pages: DataFrame) -> DataFrame:
-    """page_id, url, text: of pages that mark their article; a null text for the others."""
+    """page_id, url, host, sid, text: of pages that mark their article, with the id of its text."""
 
     def run(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
             texts = [marked_text(blocks(h.as_py() or "")) for h in batch.column("html")]
-            yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+            rows = [i for i, text in enumerate(texts) if text is not None]
+            own, kept = batch.take(pa.array(rows, pa.int64())), [texts[i] for i in rows]
+            yield pa.record_batch([own.column("page_id"), own.column("url"), pa.array([host_of(u.as_py()) for u in own.column("url")], pa.string()),
+                                   pa.array(map(article_id, kept), pa.int64()), pa.array(kept, pa.string())], ["page_id", "url", "host", "sid", "text"])
 
-    return pages.mapInArrow(run, "page_id long, url string, text string")
+    return pages.mapInArrow(run, "page_id long, url string, host string, sid long, text string")
 
 
 STREAM = "host string, stream array<string>, open boolean"
@@ -281,10 +295,9 @@ def judged(distinct: DataFrame, runs: DataFrame, how: Runs) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 found = window_hashes(token_hashes(batch.column("stream")[i].as_py()), how.length)
-                yield pa.record_batch([batch.column("host").take(pa.array([i] * len(found), pa.int64())), batch.column("sid").take(pa.array([i] * len(found), pa.int64())),
-                                       pa.array(np.arange(len(found))), pa.array(found, pa.int64())], ["host", "sid", "place", "run"])
+                yield window_rows(batch.column("host")[i].as_py(), batch.column("sid")[i].as_py(), np.arange(len(found)), found)
 
-    places = own.mapInArrow(windows, "host string, sid long, place long, run long").join(runs, ["host", "run"], "left_semi")
+    places = own.mapInArrow(windows, WINDOW).join(runs, ["host", "run"], "left_semi")
     places = places.groupBy("host", "sid").agg(F.collect_list("place").alias("places"))  # at most the places of one page
     joined = own.join(places, ["host", "sid"], "left")
 
@@ -296,6 +309,60 @@ def judged(distinct: DataFrame, runs: DataFrame, how: Runs) -> DataFrame:
     return joined.mapInArrow(texts, "host string, sid long, judged string")
 
 
+WINDOW = "host string, sid long, place long, run long"
+
+
+def window_rows(host: str, sid: int, places: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([host] * len(found), pa.string()), pa.array([sid] * len(found), pa.int64()),
+                            pa.array(places, pa.int64()), pa.array(found, pa.int64())], ["host", "sid", "place", "run"])
+
+
+def article_places(rows: DataFrame, runs: DataFrame, how: Runs) -> DataFrame:
+    """host, sid, places: where the host's boilerplate stands in its marked articles. Of all windows of the articles only those
+    in `runs` leave a task, where these are few enough to be sent; else the join finds them."""
+    sent = runs.limit(MAX_SENT_RUNS + 1).toArrow()
+    by_host: dict[str, np.ndarray] | None = None
+    if sent.num_rows <= MAX_SENT_RUNS:
+        lists = sent.group_by("host").aggregate([("run", "list")])
+        by_host = {host.as_py(): np.sort(own.values.to_numpy()) for host, own in zip(lists.column("host"), lists.column("run_list"))}
+    shared = runs.sparkSession.sparkContext.broadcast(by_host)
+
+    def windows(batches: Iterable[pa.RecordBatch]):
+        for batch in batches:
+            for url, page in zip(batch.column("url"), batch.column("html")):
+                host = host_of(url.as_py())
+                if shared.value is not None and host not in shared.value:
+                    continue
+                text = marked_text(blocks(page.as_py() or ""))
+                if text is not None:
+                    found = window_hashes(token_hashes(text.split("\n\n")), how.length)
+                    places = np.arange(len(found)) if shared.value is None else np.flatnonzero(np.isin(found, shared.value[host]))
+                    if len(places):
+                        yield window_rows(host, article_id(text), places, found[places])
+
+    hits = materialise(rows.select("url", "html").mapInArrow(windows, WINDOW).join(runs, ["host", "run"], "left_semi").distinct())
+    inside = hits.groupBy("host", "run").agg(F.count_distinct("sid").alias("n")).filter(F.col("n") >= how.pages)
+    own = hits.join(inside, ["host", "run"], "left_semi")
+    return own.groupBy("host", "sid").agg(F.collect_list("place").alias("places"))  # at most the places of one page
+
+
+def judged_articles(marked: DataFrame, places: DataFrame, how: Runs) -> DataFrame:
+    """page_id, url, text of marked pages: the blocks of the article that the boilerplate at `places` does not cover."""
+
+    @F.arrow_udf("string")
+    def kept(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, lists in columns:
+            rows = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False))
+            if len(rows):
+                changed = texts.to_pylist()
+                for i in rows:
+                    changed[i] = kept_text(changed[i].split("\n\n"), lists[int(i)].as_py(), how)
+                texts = pa.array(changed, pa.string())
+            yield texts
+
+    return marked.join(places, ["host", "sid"], "left").select("page_id", "url", kept("text", "places").alias("text"))
+
+
 def kept_text(stream: list[str], places: list[int], how: Runs) -> str:
     """The blocks of which less than the share `how.covered` lies in the runs that start at `places`."""
     sizes = [len(block.split()) for block in stream]
@@ -324,6 +391,6 @@ def main_text(pages: DataFrame, how: Runs = Runs(), row_id: str = "page_id", url
     distinct = materialise(found.select("host", "sid", "stream", "open").dropDuplicates(["host", "sid"]))
     runs = materialise(boilerplate(distinct, how))
     answers = judged(distinct, runs, how)
-    marked = texts_of_marked(rows).filter(F.col("text").isNotNull())
+    marked = judged_articles(texts_of_marked(rows), materialise(article_places(rows, runs, how)), how)
     unmarked = found.filter("open").select("page_id", "url", "host", "sid").join(answers, ["host", "sid"])
     return marked.unionByName(unmarked.select("page_id", "url", F.col("judged").alias("text")))

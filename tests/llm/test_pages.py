@@ -119,3 +119,26 @@ def test_pages_of_the_table(spark):
     got = queries.op10_main_text(spark, SF).collect()
     assert len(got) == spark.read.parquet(f"{SF}/pages.parquet").count()
     assert all(r.text and r.n_chars == len(r.text) for r in got)
+
+
+@pytest.mark.parametrize("sent", [1_000_000, 0])
+def test_marked_articles_lose_what_is_boilerplate_of_their_host(spark, monkeypatch, sent):
+    monkeypatch.setattr(host_boilerplate, "MAX_SENT_RUNS", sent)
+
+    def words(i):
+        return " ".join(f"w{i}x{j}" for j in range(20))
+    call = "become a member today and read all of our stories without any delay"
+    page = "<article><h1>{title}</h1><p>{lead}</p><div>{call}</div><p>{body}</p></article><footer>{call} page {i}</footer><aside>{teaser} more {i}</aside>"
+    # every article has its own body; teasers quote the lead of article 0; a line that articles alone repeat; copies of an article
+    rows = [(i, f"http://host/{i}", page.format(title=f"t{i}", lead=words(i), call=call, body=words("all"), i=i, teaser=words(0))) for i in range(6)]
+    rows += [(100 + i, f"http://host/copy{i}", page.format(title="t0", lead=words(0), call=call, body=words("all"), i=i, teaser="")) for i in range(5)]
+    # a host with the call in two articles only, one with the call in no stream outside
+    rows += [(200 + i, f"http://two/{i}", page.format(title="t", lead=words(i % 2), call=call, body=words("all"), i=i, teaser="")) for i in range(6)]
+    rows += [(300 + i, f"http://none/{i}", f"<article><p>{call}</p><p>{words(i)}</p></article>") for i in range(6)]
+    got = {r.page_id: r.text for r in host_boilerplate.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    for i in range(6):
+        assert got[i] == f"t{i}\n\n{words(i)}\n\n{words('all')}"
+        assert got[200 + i] == f"t\n\n{words(i % 2)}\n\n{call}\n\n{words('all')}"
+        assert got[300 + i] == f"{call}\n\n{words(i)}"
+    assert all(got[100 + i] == f"t0\n\n{words(0)}\n\n{words('all')}" for i in range(5))
