@@ -31,9 +31,13 @@ def test_tiles_of_a_block_equal_brute_force(monkeypatch):
     assert similarity._near_in_block(0.35, 2)(left, right.slice(0, 0)).num_rows == 0
 
 
-def test_cells_of_common_size_are_not_cut():
-    for rows in (100_000, 500_000, 1_500_000):
-        cells = int(np.sqrt(rows) / 4)
-        counts = np.full(cells, rows // cells)
-        assert (counts <= similarity._cell_block_rows(counts, similarity._block_rows(rows))).all()
-    assert similarity._cell_block_rows(np.array([10, 0, 20]), 4000) == similarity.BLOCK_ROWS
+def test_copies_inside_cells_do_not_grow_with_the_rows():
+    rng = np.random.default_rng(7)
+    for rows in (50_000, 500_000, 1_500_000):
+        shares = rng.pareto(1.2, int(np.sqrt(rows) / 4)) + 0.1
+        counts = (rows * shares / shares.sum()).astype(np.int64)
+        whole = similarity._block_rows(rows)
+        block = similarity._cell_block_rows(counts, counts, whole)
+        copies = (counts * -(-counts // block)).sum() / counts.sum()
+        assert block <= whole and (copies <= similarity.MEAN_BLOCKS or block == whole and copies <= similarity.MAX_BLOCKS)
+    assert similarity._cell_block_rows(np.array([10, 0, 20]), np.array([10, 5]), 4000) == similarity.BLOCK_ROWS
