@@ -118,7 +118,7 @@ def op11_word_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         for text in texts:
             encoded = codec.encode(text.as_py())
             sizes.append(len(encoded))
-            digests.append(hashlib.sha256(" ".join(map(str, encoded)).encode()).hexdigest())
+            digests.append(hashlib.sha256(codec.decimal(encoded).encode()).hexdigest())
             decoded.append(hashlib.sha256(codec.decode(encoded).encode()).hexdigest())
         return {"doc_id": ids, "n_tokens": pa.array(sizes, pa.int64()), "ids_sha256": pa.array(digests, pa.string()),
                 "decoded_sha256": pa.array(decoded, pa.string())}

@@ -10,6 +10,9 @@ all its boundaries are deleted at once, from left to right where they overlap. T
 a merge is ranked after those that make its parts (checked when the vocabulary is read): no deletion can bring
 up a smaller rank.
 
+No word of such a pattern has white space, and none depends on what stands beside it. So a text is cut at white space
+first, and a task remembers the ids of these stretches as well as of their words: most are met again.
+
 What a vocabulary file asks for is supported if it is: canonical composition and lower case, words by a
 pattern, bytes as characters, an end-of-word mark, special tokens cut out of the raw text, no decoder. Any
 other setting fails when the file is read.
@@ -33,10 +36,15 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 
 NONE = 1 << 60
 SHORT = 64
-# Words that a task remembers, and the characters of them together.
+# Stretches, and words, that a task remembers before the older ones are forgotten, and their characters together.
 REMEMBERED, REMEMBERED_CHARACTERS = 300_000, 8_000_000
 ROWS_AT_ONCE = 256
 LIBRARY = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+# Patterns of words that white space ends: literal letters, classes of letters and numbers, and what is neither nor space.
+_ONE = r"(?:'[a-z]+|\[(?:\\p\{[LN]\})+\]\+?|\[\^\\s(?:\\p\{[LN]\})*\]\+?)"
+WITHIN_SPACES = re.compile(rf"{_ONE}(?:\|{_ONE})*")
+# What str.split takes for white space and a pattern does not.
+HALF_SPACES = [chr(i) for i in range(0x110000) if chr(i).isspace() and not regex.match(r"\s", chr(i))]
 
 
 def byte_characters() -> list[str]:
@@ -115,19 +123,25 @@ class Vocabulary:
 
 
 class Remembered(dict):
-    """Ids of words; computes what it lacks, and is emptied between texts once it is large."""
+    """Ids of words; computes what it lacks. Once it is large, between texts, its words become the older ones, and the
+    older ones before them are forgotten; an older word that is met again is a new one."""
 
     def __init__(self, compute: Callable[[str], tuple[int, ...]]):
         super().__init__()
         self.compute, self.characters = compute, 0
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        found = self[word] = self.compute(word)
+        found = self.older.get(word)
+        if found is None:
+            found = self.compute(word)
+        self[word] = found
         self.characters += len(word)
         return found
 
     def shrink(self) -> None:
         if len(self) > REMEMBERED or self.characters > REMEMBERED_CHARACTERS:
+            self.older = dict(self)
             self.clear()
             self.characters = 0
 
@@ -137,34 +151,38 @@ class Codec:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.names = vocabulary, vocabulary.names
-        self.ranks = {(a, b): (rank, whole) for rank, (a, b, whole) in enumerate(vocabulary.merges)}
         self.size = len(self.names)
+        self.decimals = list(map(str, range(self.size)))
+        self.ranks = {a * self.size + b: rank for rank, (a, b, _) in enumerate(vocabulary.merges)}
+        self.made = [whole for _, _, whole in vocabulary.merges]
         pairs = np.array([a * self.size + b for a, b, _ in vocabulary.merges], np.int64)
         self.order = np.argsort(pairs)
         self.pairs = pairs[self.order]
-        self.wholes = np.array([whole for _, _, whole in vocabulary.merges], np.int64)
+        self.wholes = np.array(self.made, np.int64)
         self.find_words = regex.compile(vocabulary.pattern).findall
         self.find_later_words = regex.compile(vocabulary.later_pattern, regex.V1).findall
         self.is_high = re.compile(f"[{vocabulary.later[:10]}-\\U0010ffff]").search if vocabulary.later else lambda part: None
         self.has_later = regex.compile(f"[{vocabulary.later or 'a'}]").search
         self.cut = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
+        self.within_spaces = WITHIN_SPACES.fullmatch(vocabulary.pattern) is not None
         self.known = Remembered(self.word)
+        self.stretches = Remembered(self.stretch)
 
     def short(self, symbols: list[int]) -> list[int]:
         """The symbols after all merges, one boundary at a time."""
-        look, nothing = self.ranks.get, (NONE, -1)
-        ranks = [look(pair, nothing) for pair in zip(symbols, symbols[1:])]
+        look, size, made = self.ranks.get, self.size, self.made
+        ranks = [look(a * size + b, NONE) for a, b in zip(symbols, symbols[1:])]
         while ranks:
             best = min(ranks)  # equal ranks are equal pairs, so the first of them is the leftmost
-            if best[0] == NONE:
+            if best == NONE:
                 break
             at = ranks.index(best)
-            symbols[at : at + 2] = [best[1]]
-            del ranks[at]
+            symbols[at] = whole = made[best]
+            del symbols[at + 1], ranks[at]
             if at:
-                ranks[at - 1] = look((symbols[at - 1], symbols[at]), nothing)
+                ranks[at - 1] = look(symbols[at - 1] * size + whole, NONE)
             if at < len(ranks):
-                ranks[at] = look((symbols[at], symbols[at + 1]), nothing)
+                ranks[at] = look(whole * size + symbols[at + 1], NONE)
         return symbols
 
     def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -197,28 +215,41 @@ class Codec:
         symbols = [first[b] for b in raw[:-1]] + [last[raw[-1]]]
         return tuple(self.short(symbols) if len(symbols) <= SHORT else self.long(np.array(symbols, np.int64)).tolist())
 
-    def words(self, part: str) -> list[str]:
-        """The words of a text without special tokens, normalised. Texts with characters younger than this Python
-        are normalised by the library."""
+    def stretch(self, text: str) -> tuple[int, ...]:
+        """The ids of a normalised stretch."""
+        words = self.find_words(text)
+        return self.known[text] if words == [text] else tuple(chain.from_iterable(map(self.known.__getitem__, words)))
+
+    def found(self, part: str) -> Iterable[tuple[int, ...]]:
+        """The ids of a text without special tokens, word by word or stretch by stretch. Texts with characters younger
+        than this Python are normalised by the library."""
         if self.is_high(part) and self.has_later(part):
-            return self.find_later_words(LIBRARY.normalize_str(part))
-        return self.find_words(lowered(unicodedata.normalize("NFC", part)))
+            return map(self.known.__getitem__, self.find_later_words(LIBRARY.normalize_str(part)))
+        part = lowered(unicodedata.normalize("NFC", part))
+        if self.within_spaces and not any(space in part for space in HALF_SPACES):
+            return map(self.stretches.__getitem__, part.split())
+        return map(self.known.__getitem__, self.find_words(part))
 
     def encode(self, text: str | None) -> list[int]:
         """The ids of a whole text. Special tokens in it are found before anything else."""
         ids: list[int] = []
         self.known.shrink()
+        self.stretches.shrink()
         for part in self.cut.split(text or "") if self.cut else [text or ""]:
             if part in self.vocabulary.special:
                 ids.append(self.vocabulary.special[part])
                 continue
-            ids.extend(chain.from_iterable(map(self.known.__getitem__, self.words(part))))
+            ids.extend(chain.from_iterable(self.found(part)))
         return ids
 
     def decode(self, ids: Iterable[int]) -> str:
         """The names of the ids, special ones too, joined by spaces: the file has no decoder."""
         return " ".join(map(self.names.__getitem__, ids))
 
+    def decimal(self, ids: Iterable[int]) -> str:
+        """The ids as decimal numbers, joined by spaces."""
+        return " ".join(map(self.decimals.__getitem__, ids))
+
 
 # A worker keeps its codec from task to task: one for each vocabulary file it has met.
 _CODECS: dict[str, Codec] = {}

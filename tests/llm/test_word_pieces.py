@@ -50,6 +50,27 @@ def test_odd_texts(codec, library):
         assert equal(codec, library, text), text
 
 
+def test_texts_are_cut_at_white_space_as_the_pattern_has_it(codec, library):
+    """All that Python or the pattern takes for white space, between words and inside of them; what a pattern must be."""
+    spaces = [chr(p) for p in range(0x110000) if chr(p).isspace()] + ["\u180e", "\u200b", "\ufeff"]
+    for space in spaces:
+        assert equal(codec, library, f"a{space}b's{space}{space}12'{space}s,{space}C.") and equal(codec, library, f"it{space}'s it's{space}")
+    for pattern, is_within in ((codec.vocabulary.pattern, True), (r"[\p{L}]+(?!\S)|[^\s\p{L}]+", False), (r"\s?[\p{L}]+", False), (r"[^\p{L}]+", False)):
+        assert (word_pieces.WITHIN_SPACES.fullmatch(pattern) is not None) == is_within, pattern
+
+
+def test_what_is_met_again_is_remembered(codec, library, monkeypatch):
+    """However many words are met once, a frequent one is merged once, and no more are held than the two bounds."""
+    merged, fresh = [], word_pieces.Codec(codec.vocabulary)
+    monkeypatch.setattr(word_pieces, "REMEMBERED", 100)
+    monkeypatch.setattr(fresh.known, "compute", lambda word: merged.append(word) or codec.word(word))
+    for i in range(200):
+        text = "usual words, " + " ".join(f"rare{chr(97 + i % 26)}{'x' * (i // 26)}{chr(97 + j)}" for j in range(20))
+        assert fresh.encode(text) == library.encode(text, add_special_tokens=False).ids
+        assert all(len(held) + len(held.older) <= 2 * (100 + 43) for held in (fresh.known, fresh.stretches))
+    assert [merged.count(word) for word in ("usual", "words", ",", "rareaa")] == [1, 1, 1, 1]
+
+
 def test_query_equals_the_library(spark, documents, odd_documents, library, tmp_path):
     odd_documents.write.parquet(f"{tmp_path}/odd/documents.parquet")
     odd_documents.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
