@@ -194,6 +194,32 @@ def _learned(found: Cells, corpus: DataFrame, asking: list[str], k: int) -> int:
     return int(np.clip(np.sort(needed)[at], 0, WHOLE_RADIUS))
 
 
+def _routes(vectors: np.ndarray, most: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(question, cell, n, steps): at least the `most` nearest cells of each question, from a piece of the cells at a time."""
+    for batch in in_pieces(batches):
+        cell = batch.column("cell").to_numpy()
+        steps = angle_steps(vectors @ unit(matrix(batch.column("centre"))).T)
+        # Angle and number in one integer, so ties fall to the smaller number.
+        key = steps * (int(cell.max(initial=0)) + 1) + cell
+        near = np.argsort(key, axis=1)[:, :most]
+        question = np.repeat(np.arange(len(near), dtype=np.int32), near.shape[1])
+        near = near.reshape(-1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(question), pa.array(cell[near], pa.int32()), batch.column("n").take(pa.array(near)),
+             pa.array(steps[question, near])], names=["question", "cell", "n", "steps"])
+
+
+def _within(vectors: np.ndarray, reach: np.ndarray, share: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, bits): the questions whose reach meets each cell, one bit for each, from a piece of the cells at a time."""
+    for batch in in_pieces(batches):
+        steps = angle_steps(vectors @ unit(matrix(batch.column("centre"))).T)
+        radius = batch.column("radius").to_numpy()
+        meets = steps * 1000 - share * radius <= reach[:, None] * 1000
+        some = np.flatnonzero(meets.any(axis=0))
+        bits = [np.packbits(meets[:, i]).tobytes() for i in some]
+        yield pa.RecordBatch.from_arrays([batch.column("cell").take(pa.array(some)), pa.array(bits, pa.binary())], names=["cell", "bits"])
+
+
 class _Asked:
     """A bounded batch of questions, held by the driver and sent to every task."""
 
@@ -207,21 +233,8 @@ class _Asked:
     def first_cells(self, found: Cells, k: int) -> dict[int, np.ndarray]:
         """The questions that look into each cell first: the nearest cells, until they hold FIRST_ROWS * k tickets."""
         shared, most = self.shared, FIRST_ROWS * k
-
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                cell = batch.column("cell").to_numpy()
-                steps = angle_steps(shared.value @ unit(matrix(batch.column("centre"))).T)
-                # Angle and number in one integer, so ties fall to the smaller number.
-                key = steps * (int(cell.max(initial=0)) + 1) + cell
-                near = np.argsort(key, axis=1)[:, :most]
-                question = np.repeat(np.arange(len(near), dtype=np.int32), near.shape[1])
-                near = near.reshape(-1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(question), pa.array(cell[near], pa.int32()), batch.column("n").take(pa.array(near)),
-                     pa.array(steps[question, near])], names=["question", "cell", "n", "steps"])
-
-        routes = found.cells.select("cell", "centre", "n").mapInArrow(run, "question int, cell int, n bigint, steps bigint")
+        routes = found.cells.select("cell", "centre", "n").mapInArrow(
+            lambda batches: _routes(shared.value, most, batches), "question int, cell int, n bigint, steps bigint")
         near = first_of_each(routes, "question", ["steps", "cell"], most, spread_by="cell")
         before = F.sum("n").over(Window.partitionBy("question").orderBy("steps", "cell")) - F.col("n")
         rows = near.withColumn("before", before).filter(F.col("before") < most).select("question", "cell").toArrow()
@@ -242,17 +255,8 @@ class _Asked:
     def cells_in_reach(self, found: Cells, reach: np.ndarray) -> dict[int, np.ndarray]:
         """The questions that must look into each cell, one bit for each while on the way."""
         shared, share = self.shared, found.share
-
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                steps = angle_steps(shared.value @ unit(matrix(batch.column("centre"))).T)
-                radius = batch.column("radius").to_numpy()
-                meets = steps * 1000 - share * radius <= reach[:, None] * 1000
-                some = np.flatnonzero(meets.any(axis=0))
-                bits = [np.packbits(meets[:, i]).tobytes() for i in some]
-                yield pa.RecordBatch.from_arrays([batch.column("cell").take(pa.array(some)), pa.array(bits, pa.binary())], names=["cell", "bits"])
-
-        rows = found.cells.select("cell", "centre", "radius").mapInArrow(run, "cell int, bits binary").toArrow()
+        rows = found.cells.select("cell", "centre", "radius").mapInArrow(
+            lambda batches: _within(shared.value, reach, share, batches), "cell int, bits binary").toArrow()
         return {cell: np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(self.names)))
                 for cell, bits in zip(*[c.to_pylist() for c in rows.columns])}
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from groundwork.operators import nearest
+from groundwork.operators import cells, nearest
 
 
 def test_a_scan_meets_tickets_in_pieces(monkeypatch):
@@ -19,3 +19,25 @@ def test_a_scan_meets_tickets_in_pieces(monkeypatch):
     for q, name in enumerate("abc"):
         want = sorted(zip(nearest.six_place_steps(distances[q]), ids))[:10]
         assert [r["ticket_id"] for r in found.to_pylist() if r["question_id"] == name] == [i for _, i in want]
+
+
+def test_questions_meet_cells_in_pieces(monkeypatch):
+    rng = np.random.default_rng(6)
+    asked, centres = nearest.unit(rng.normal(size=(9, 4))), rng.normal(size=(5000, 4)).astype(np.float32)
+    number, radius = rng.permutation(5000).astype(np.int32), rng.integers(0, 300_000, 5000)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(number), pa.array(centres.tolist(), pa.list_(pa.float32())), pa.array(number.astype(np.int64)), pa.array(radius)],
+        names=["cell", "centre", "n", "radius"])
+    steps = cells.angle_steps(asked @ nearest.unit(centres.astype(np.float64)).T)
+    seen, angle_steps = [], cells.angle_steps
+    monkeypatch.setattr(cells, "angle_steps", lambda cosines: (seen.append(cosines.size), angle_steps(cosines))[1])
+
+    routes = [r for b in cells._routes(asked, 40, iter([batch, batch.slice(0, 0)])) for r in b.to_pylist()]
+    reach = rng.integers(100_000, 400_000, 9)
+    within = [r for b in cells._within(asked, reach, 500, iter([batch, batch.slice(0, 0)])) for r in b.to_pylist()]
+    assert max(seen) <= 9 * 1024
+    for q in range(9):
+        first = sorted((r["steps"], r["cell"], r["n"]) for r in routes if r["question"] == q)[:40]
+        assert first == sorted((int(s), int(c), int(c)) for s, c in zip(steps[q], number))[:40]
+        found = {r["cell"] for r in within if np.unpackbits(np.frombuffer(r["bits"], np.uint8))[q]}
+        assert found == set(number[steps[q] * 1000 - 500 * radius <= reach[q] * 1000].tolist())
