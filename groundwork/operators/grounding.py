@@ -106,15 +106,20 @@ def extractive(pairs: Sequence[tuple[str, str]]) -> list[str]:
     return answers
 
 
+def _said(system: pa.Array, prompt: pa.Array, model: Model, batch: int) -> pa.Array:
+    said = []
+    for i in range(0, len(prompt), batch):
+        said += model(list(zip(system.slice(i, batch).to_pylist(), prompt.slice(i, batch).to_pylist())))
+    return pa.array(said, pa.string())
+
+
 def generate(prompted: DataFrame, model: Model = extractive, batch: int = 64) -> DataFrame:
-    """Add `answer` from `model`, called with batches of (instruction, prompt)."""
+    """Add `answer` from `model`, called with batches of (instruction, prompt); no more are Python strings at once."""
 
     @F.arrow_udf("string")
     def answers(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for system, prompt in columns:
-            pairs = list(zip(system.to_pylist(), prompt.to_pylist()))
-            said = [a for i in range(0, len(pairs), batch) for a in model(pairs[i:i + batch])]
-            yield pa.array(said, pa.string())
+            yield _said(system, prompt, model, batch)
 
     return prompted.withColumn("answer", answers("system", "prompt"))
 

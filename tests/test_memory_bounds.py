@@ -1,9 +1,11 @@
 """What a Python worker holds at once does not grow with the size of an Arrow batch."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 
-from groundwork.operators import cells, nearest
+from groundwork.operators import cells, grounding, nearest
 
 
 def test_a_scan_meets_tickets_in_pieces(monkeypatch):
@@ -41,3 +43,12 @@ def test_questions_meet_cells_in_pieces(monkeypatch):
         assert first == sorted((int(s), int(c), int(c)) for s, c in zip(steps[q], number))[:40]
         found = {r["cell"] for r in within if np.unpackbits(np.frombuffer(r["bits"], np.uint8))[q]}
         assert found == set(number[steps[q] * 1000 - 500 * radius <= reach[q] * 1000].tolist())
+
+
+def test_prompts_are_strings_a_few_at_a_time():
+    system, prompt = pa.array(["s" * 100] * 4000), pa.array([f"{i} " + "p" * 5000 for i in range(4000)])
+    tracemalloc.start()
+    said = grounding._said(system, prompt, lambda pairs: [p.split(" ")[0] for _, p in pairs], 64)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert said.to_pylist() == [str(i) for i in range(4000)] and peak < 2_000_000
