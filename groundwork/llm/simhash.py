@@ -99,7 +99,8 @@ def links(distinct: DataFrame) -> DataFrame:
     once = (own_a & own_b) | (own_a & ~own_b) | (~own_a & ~own_b & (F.col("sa") != F.col("sb")))
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     near = (F.col("cell") == F.col("cell_b")) & (apart <= MAX_DISTANCE) & (F.col("a") < F.col("b")) & once
-    found = left.join(right, near)
+    # Both sides have 33 rows for each that Spark counts on, so neither is ever sent whole.
+    found = left.join(right.hint("merge"), near)
     return found.select("a", "b").distinct()
 
 
@@ -115,7 +116,7 @@ def classes(docs: DataFrame, words: int = 3, row_id: str = "doc_id", text: str =
     prints = materialise(fingerprints(docs, words, row_id, text))
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(nodes))
-    joined = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    joined = nodes.join(roots.hint("merge"), nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     placed = joined.join(smallest, "root").select("fp", "component_id", F.col("root").alias("class_root"))
     return prints.join(placed, "fp").select("doc_id", "row_key", "fp", "component_id", "class_root")
